@@ -14,7 +14,8 @@ Stages and what moves between them:
    the same result. A shingle whose counter is 1 stands in one record only and is not sent at all.
 2. copies: equal contents become one record (map-side first), so a group of copies of any size
    costs one record from here on.
-3. prefixes: (group, length, position, the next shingles of the prefix in 16 bits each).
+3. prefixes: (group, length and position, the next shingles of the prefix). The continuation is sent
+   in 13 bits a shingle, which keep the order, as differences of mostly one byte.
 4. trie walk in each group. Groups are bounded: a shingle whose counter exceeds 2**GROUP_BITS is
    split in blocks by record; its probing rows visit each block and are streamed, never held.
 5. exact check on the contents of the surviving pairs, then copies are put back.
@@ -34,7 +35,8 @@ from quarrylake.llm.wordhash import blocks, shingles
 SKETCH_BITS = 24  # counters: 2**24, one byte each when broadcast (16 MB at any corpus size)
 RANGE_BITS = 16
 GROUP_BITS = 15  # rows of one trie
-DEPTH = 32  # shingles of a prefix sent along for the walk
+DEPTH = 32  # most shingles of a prefix sent along for the walk
+SHORT = 39  # bits of a 52-bit shingle left out there
 FRONTIER = 1 << 20  # states of a walk held at once
 HELD = 1 << 18  # rows of a partition handled at once
 
@@ -109,8 +111,9 @@ def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch:
     level = (token[at] >> np.uint64(47)).astype(np.int64)
     sent = level > 1
     rec, i, at, level = rec[sent], i[sent], at[sent], level[sent]
-    tail = np.minimum(p[rec] - 1 - i, DEPTH)
-    index = i < n[rec] - ceil_div(2 * num * n[rec], num + den) + 1
+    spare = n[rec] - ceil_div(2 * num * n[rec], num + den)  # shingles that a record of equal length may lack
+    tail = np.minimum(p[rec] - 1 - i, np.minimum(DEPTH, spare + 4))
+    index = i < spare + 1
     # a shingle of a high class is split: indexed rows in one block, probing rows in every block
     split = np.left_shift(1, np.maximum(level - GROUP_BITS, 0))
     hot = split > 1
@@ -126,14 +129,35 @@ def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch:
         role = np.concatenate((np.full(len(cold), 2), np.zeros(len(hi)), np.ones(len(probes)))).astype(np.int8)
         block = np.concatenate((np.zeros(len(cold), np.int64), (own[hi] % split[hi].astype(np.uint64)).astype(np.int64), each))
     rec, i, at, tail = rec[pick], i[pick], at[pick], tail[pick]
-    tok = (token[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    short = np.append(token >> np.uint64(36), np.zeros(DEPTH + 1, np.uint64)).astype(np.uint16)
     flat = np.repeat(at + 1, tail) + np.arange(int(tail.sum())) - np.repeat(np.cumsum(tail) - tail, tail)
-    seq = pa.Array.from_buffers(pa.binary(), len(rec), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(tail * 2))).astype(np.int32)), pa.py_buffer(short[flat])])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tok), pa.array(block.astype(np.int32)), pa.array(role), pa.array(n[rec].astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(ids, pa.binary()).take(pa.array(rec)), seq],
-        ["tok", "block", "role", "n", "i", "id", "seq"],
-    )
+    short = (token >> np.uint64(SHORT)).astype(np.int64)
+    sizes, data = packed(short[flat] - short[flat - 1], tail)
+    seq = pa.Array.from_buffers(pa.binary(), len(rec), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(data)])
+    meta = (block << 50) | (role.astype(np.int64) << 48) | (n[rec] << 24) | i
+    return pa.RecordBatch.from_arrays([pa.array(token[at].astype(np.int64)), pa.array(meta), pa.array(ids, pa.binary()).take(pa.array(rec)), seq], ["tok", "meta", "id", "seq"])
+
+
+def packed(steps: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each run, all bytes): a step is as many 255s as it holds, then the rest."""
+    wide = steps // 255
+    ends = np.cumsum(wide + 1)
+    data = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    data[ends - 1] = steps % 255
+    total = np.concatenate(([0], ends))
+    cut = np.cumsum(runs)
+    return total[cut] - total[cut - runs], data
+
+
+def unpacked(base: np.ndarray, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, padded to DEPTH with 0; their number) of each run off[j]..off[j+1]-1 of bytes."""
+    ends = data != 255
+    before = np.concatenate(([0], np.cumsum(ends)))
+    length = before[off[1:]] - before[off[:-1]]
+    total = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
+    rows = np.zeros((len(base), DEPTH), np.int64)
+    rows[np.arange(DEPTH) < length[:, None]] = total[1:][ends]
+    rows += np.where(np.arange(DEPTH) < length[:, None], (base - total[off[:-1]])[:, None], 0)
+    return rows.astype(np.uint16), length
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +169,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def trie_walk(group: np.ndarray, n: np.ndarray, i: np.ndarray, role: np.ndarray, ident: np.ndarray, seqs: np.ndarray, length: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (probing row, indexed row) of each group that the trie can't rule out.
 
-    seqs: the 16-bit continuations, rows padded to DEPTH with 0 and sorted; length: their true lengths.
+    seqs: the 13-bit continuations, rows padded to DEPTH with 0 and sorted; length: their true lengths.
     The indexed rows, sorted by group and continuation, are the trie: a node of depth d is a run of
     rows with the same first d shingles. The walk goes down level by level for all probes at once.
     """
@@ -228,13 +252,11 @@ def _unpack(t: pa.Table) -> dict[str, np.ndarray]:
     if isinstance(seq, pa.ChunkedArray):
         seq = pa.concat_arrays(seq.chunks) if seq.num_chunks else pa.array([], pa.binary())
     off = np.frombuffer(seq.buffers()[1], np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64)
-    length = np.diff(off) // 2
-    data = np.frombuffer(seq.buffers()[2], np.uint8) if seq.buffers()[2] is not None and off[-1] > off[0] else np.empty(0, np.uint8)
-    rows = np.zeros((len(seq), DEPTH), np.uint16)
-    rows[np.arange(DEPTH) < length[:, None]] = data[off[0] : off[-1]].view(np.uint16) if len(data) else 0
-    col = lambda c: t[c].to_numpy().astype(np.int64)
+    data = np.frombuffer(seq.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.empty(0, np.uint8)
+    tok, meta = t["tok"].to_numpy(), t["meta"].to_numpy()
+    rows, length = unpacked(tok >> SHORT, off - off[0], data)
     ids = np.frombuffer(b"".join(t["id"].to_pylist()), dtype=">u8").reshape(-1, 2)
-    return {"tok": col("tok"), "block": col("block"), "role": col("role"), "n": col("n"), "i": col("i"), "id": ids.astype(np.uint64), "seq": rows, "len": length}
+    return {"tok": tok, "block": meta >> 50, "role": (meta >> 48) & 3, "n": (meta >> 24) & 0xFFFFFF, "i": meta & 0xFFFFFF, "id": ids.astype(np.uint64), "seq": rows, "len": length}
 
 
 def _walk_rows(parts: dict[str, np.ndarray], num: int, den: int) -> pa.RecordBatch | None:
@@ -294,8 +316,8 @@ def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den:
             for start, texts in blocks(b.column(1).to_pylist()):
                 yield prefix_rows(ids[start : start + len(texts)], texts, k, num, den, shared.value)
 
-    rows = whole.mapInArrow(emit, "tok int, block int, role byte, n int, i int, id binary, seq binary")
-    rows = rows.repartition("tok", "block").sortWithinPartitions("tok", "block", "role")
+    rows = whole.mapInArrow(emit, "tok long, meta long, id binary, seq binary")
+    rows = rows.repartition("tok", F.shiftright("meta", 50)).sortWithinPartitions("tok", "meta")  # meta: block, role, length, position
     pairs = rows.mapInArrow(lambda batches: walk_partition(batches, num, den), "x binary, y binary").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
