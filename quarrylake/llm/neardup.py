@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.llm.wordhash import blocks, shingles
@@ -112,7 +112,7 @@ def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch:
     sent = level > 1
     rec, i, at, level = rec[sent], i[sent], at[sent], level[sent]
     spare = n[rec] - ceil_div(2 * num * n[rec], num + den)  # shingles that a record of equal length may lack
-    tail = np.minimum(p[rec] - 1 - i, np.minimum(DEPTH, spare + 4))
+    tail = np.minimum(p[rec] - 1 - i, np.minimum(DEPTH, np.maximum(spare - i, 0) + 6))
     index = i < spare + 1
     # a shingle of a high class is split: indexed rows in one block, probing rows in every block
     split = np.left_shift(1, np.maximum(level - GROUP_BITS, 0))
@@ -255,8 +255,8 @@ def _unpack(t: pa.Table) -> dict[str, np.ndarray]:
     data = np.frombuffer(seq.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.empty(0, np.uint8)
     tok, meta = t["tok"].to_numpy(), t["meta"].to_numpy()
     rows, length = unpacked(tok >> SHORT, off - off[0], data)
-    ids = np.frombuffer(b"".join(t["id"].to_pylist()), dtype=">u8").reshape(-1, 2)
-    return {"tok": tok, "block": meta >> 50, "role": (meta >> 48) & 3, "n": (meta >> 24) & 0xFFFFFF, "i": meta & 0xFFFFFF, "id": ids.astype(np.uint64), "seq": rows, "len": length}
+    ids = np.frombuffer(b"".join(t["id"].to_pylist()), dtype=">u4").reshape(-1, 3)
+    return {"tok": tok, "block": meta >> 50, "role": (meta >> 48) & 3, "n": (meta >> 24) & 0xFFFFFF, "i": meta & 0xFFFFFF, "id": ids.astype(np.uint32), "seq": rows, "len": length}
 
 
 def _walk_rows(parts: dict[str, np.ndarray], num: int, den: int) -> pa.RecordBatch | None:
@@ -266,7 +266,7 @@ def _walk_rows(parts: dict[str, np.ndarray], num: int, den: int) -> pa.RecordBat
     p = {k: v[many] for k, v in parts.items()}
     if not many.any():
         return None
-    order = np.lexsort((p["id"][:, 1], p["id"][:, 0]))
+    order = np.lexsort((p["id"][:, 2], p["id"][:, 1], p["id"][:, 0]))
     ident = np.empty(len(order), np.int64)
     same = np.concatenate(([False], (p["id"][order][1:] == p["id"][order][:-1]).all(1)))
     ident[order] = np.cumsum(~same)
@@ -274,8 +274,8 @@ def _walk_rows(parts: dict[str, np.ndarray], num: int, den: int) -> pa.RecordBat
     if not len(x):
         return None
     pair = np.unique(np.stack((ident[x], ident[y]), 1), axis=0, return_index=True)[1]
-    raw = p["id"].astype(">u8").tobytes()
-    name = lambda rows: pa.array([raw[16 * r : 16 * r + 16] for r in rows], pa.binary())
+    raw = p["id"].astype(">u4").tobytes()
+    name = lambda rows: pa.array([raw[12 * r : 12 * r + 12] for r in rows], pa.binary())
     return pa.RecordBatch.from_arrays([name(x[pair]), name(y[pair])], ["x", "y"])
 
 
@@ -303,11 +303,16 @@ def walk_partition(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Ite
         yield out
 
 
+def identity(content: str) -> Column:
+    """The first 96 bits of a content's md5."""
+    return F.unhex(F.substring(F.md5(content), 1, 24))
+
+
 def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den: int = 10, k: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(x, y): md5 of each two different contents with Jaccard similarity >= num/den of their k-word sets."""
+    """(x, y): identities of each two different contents with Jaccard similarity >= num/den of their k-word sets."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(corpus_sketch(df, content, k, sketch_bits))
-    whole = df.select(F.unhex(F.md5(content)).alias("id"), F.col(content).alias("content")).where(F.col("content").isNotNull() & F.col("id").isNotNull())  # as the joins below ask, so that all share one exchange
+    whole = df.select(identity(content).alias("id"), F.col(content).alias("content")).where(F.col("content").isNotNull() & F.col("id").isNotNull())  # as the joins below ask, so that all share one exchange
     whole = whole.groupBy("id").agg(F.first("content").alias("content"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +363,7 @@ def similar_rows(df: DataFrame, key: str, content: str = "content", num: int = 7
     the last join works on distinct contents.
     """
     pairs = similar_contents(df, content, num, den, k)
-    id_ = F.unhex(F.md5(content))
+    id_ = identity(content)
     some = F.col(content).rlike(HAS_SHINGLE.replace("{2}", f"{{{k - 1}}}"))
     rows = df.where(F.col(content).isNotNull() & some).select(id_.alias("id"), F.col(key).alias("key")).where("id is not null and key is not null")
     member = lambda side, name: rows.select(F.col("id").alias(side), F.col("key").alias(name))
