@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.wordhash import blocks, shingles
 
-SKETCH_BITS = 24  # counters: 2**24, one byte each when broadcast (16 MB at any corpus size)
+SKETCH_BITS = 25  # counters: 2**25, one byte each when broadcast (32 MB at any corpus size)
 RANGE_BITS = 16
 GROUP_BITS = 15  # rows of one trie
 DEPTH = 32  # most shingles of a prefix sent along for the walk
@@ -61,25 +61,30 @@ def corpus_sketch(df: DataFrame, content: str, k: int, bits: int = SKETCH_BITS)
         for r in range(len(cuts) - 1):
             if cuts[r] < cuts[r + 1]:
                 x = at[cuts[r] : cuts[r + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int(x[0]) % 31], pa.int32()), pa.array([(x & ((1 << RANGE_BITS) - 1)).astype(np.uint16).tobytes()]), pa.array([n[x].tobytes()])], ["r", "part", "at", "n"])
+                x = x[np.argsort(n[x] > 1, kind="stable")]  # those counted once first: they need no count
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int(x[0]) % 31], pa.int32()), pa.array([(x & ((1 << RANGE_BITS) - 1)).astype(np.uint16).tobytes()]), pa.array([n[x][n[x] > 1].tobytes()])], ["r", "part", "at", "n"])
 
     def add(t: pa.Table) -> np.ndarray:
         n = np.zeros(1 << RANGE_BITS, np.uint64)
         for at, c in zip(t["at"].to_pylist(), t["n"].to_pylist()):
-            n[np.frombuffer(at, np.uint16)] += np.frombuffer(c, np.uint32)
+            at, c = np.frombuffer(at, np.uint16), np.frombuffer(c, np.uint32)
+            n[at] += np.concatenate((np.ones(len(at) - len(c), np.uint64), c))
         return np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
 
     def merge(t: pa.Table) -> pa.Table:
         n = add(t)
         at = np.flatnonzero(n)
-        return pa.table({"r": pa.array([t["r"][0].as_py()], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "n": [n[at].tobytes()]})
+        at = at[np.argsort(n[at] > 1, kind="stable")]
+        return pa.table({"r": pa.array([t["r"][0].as_py()], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "n": [n[at][n[at] > 1].tobytes()]})
 
     parts = df.select(content).where(F.col(content).isNotNull()).mapInArrow(count, "r int, part int, at binary, n binary")
     halves = parts.groupBy("r", "part").applyInArrow(merge, "r int, at binary, n binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in halves.groupBy("r").applyInArrow(merge, "r int, at binary, n binary").collect():
-        n = np.frombuffer(row["n"], np.uint32)
-        out[(row["r"] << RANGE_BITS) + np.frombuffer(row["at"], np.uint16).astype(np.int64)] = np.frexp(n.astype(np.float64))[1]
+        at, n = np.frombuffer(row["at"], np.uint16).astype(np.int64), np.frombuffer(row["n"], np.uint32)
+        classes = np.ones(len(at), np.uint8)
+        classes[len(at) - len(n) :] = np.frexp(n.astype(np.float64))[1]
+        out[(row["r"] << RANGE_BITS) + at] = classes
     return out
 
 
