@@ -23,7 +23,9 @@ Stages and what moves between them:
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.llm.wordhash import blocks, shingles
 
-SKETCH_BITS = 25  # counters: 2**25, one byte each when broadcast (32 MB at any corpus size)
+SKETCH_BITS = 25  # counters: 2**25, one byte each (32 MB at any corpus size, packed when broadcast)
 RANGE_BITS = 16
 GROUP_BITS = 15  # rows of one trie
 DEPTH = 32  # most shingles of a prefix sent along for the walk
@@ -41,6 +43,11 @@ FRONTIER = 1 << 20  # states of a walk held at once
 HELD = 1 << 18  # rows of a partition handled at once
 
 
+@lru_cache(maxsize=1)
+def _opened(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sketch), np.uint8)
+
+
 def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -316,7 +323,7 @@ def identity(content: str) -> Column:
 def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den: int = 10, k: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(x, y): identities of each two different contents with Jaccard similarity >= num/den of their k-word sets."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(corpus_sketch(df, content, k, sketch_bits))
+    shared = spark.sparkContext.broadcast(zlib.compress(corpus_sketch(df, content, k, sketch_bits).tobytes(), 1))
     whole = df.select(identity(content).alias("id"), F.col(content).alias("content")).where(F.col("content").isNotNull() & F.col("id").isNotNull())  # as the joins below ask, so that all share one exchange
     whole = whole.groupBy("id").agg(F.first("content").alias("content"))
 
@@ -324,7 +331,7 @@ def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den:
         for b in batches:
             ids = b.column(0).to_pylist()
             for start, texts in blocks(b.column(1).to_pylist()):
-                yield prefix_rows(ids[start : start + len(texts)], texts, k, num, den, shared.value)
+                yield prefix_rows(ids[start : start + len(texts)], texts, k, num, den, _opened(shared.value))
 
     rows = whole.mapInArrow(emit, "tok long, meta long, id binary, seq binary")
     rows = rows.repartition("tok", F.shiftright("meta", 50)).sortWithinPartitions("tok", "meta")  # meta: block, role, length, position
