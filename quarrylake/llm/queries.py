@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm.neardup import similar_rows
+from quarrylake.llm.scans import scan_traces
 from quarrylake.session import table
 
 
@@ -14,5 +15,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_rows(chunks, "chunk_key").select(F.col("a").alias("chunk_key_a"), F.col("b").alias("chunk_key_b"))
 
 
-QUERIES = {"p2_found": p2_found}
+def _pages() -> Column:
+    return F.col("page_number").isNotNull() | F.col("image_path").isNotNull()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("chunk_key", "file_path", "chunk_index", "page_number", "image_path", "content")
+    return scan_traces(chunks, _pages())
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
 ORACLE: dict[str, str] = {}
