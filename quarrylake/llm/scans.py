@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Glyphs that scanners confuse, as strokes. Letters on the left read alike.
-ALIKE = [("l1!|", "i"), ("c", "e"), ("a0", "o"), ("v", "y"), ("5$", "s"), ("q9", "g"), ("f+", "t"), ("86", "b"), ("2", "z")]
-STROKES = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("u", "ii"), ("w", "vv")]
+ALIKE = [("l1!|", "i"), ("c", "e"), ("a0", "o"), ("v", "y"), ("5$", "s"), ("q9", "g"), ("f+", "t"), ("2", "z")]
+STROKES = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("h", "li"), ("b", "li"), ("8", "li"), ("6", "li")]
 DIVIDERS = "-­‐‑¬"  # hyphen-minus, soft hyphen, hyphen, no-break hyphen, not sign
 OUTER = ".,;:\"'()?!…“”‘’[]«»¿¡–—*"  # stripped from words, but for a final ! inside a skeleton
 
-#: A form is misread if its group's best form is at least so many times as frequent.
-RATIO = 20
+#: A form is misread if its group's best form is at least so many times as frequent; the second figure
+#: holds for forms with a digit or sign among their letters.
+RATIO, MIXED_RATIO = 12, 2
 EDGE = 3  # lines from the top and from the bottom that may be header or page number
 
 _PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]*"
@@ -34,6 +35,7 @@ NUMBER = (
     r"(?i)^\W*(?:(?:page|pa9e|pagc|pa9c|poge|p|pg|seite|página|strona|стр)\W{0,3})?"
     r"(?:\d[\dOolI!]{0,5}|[OolI!]{1,2}\d{1,5}|[ivxl]{1,7})(?:\s*(?:of|0f|ot|/|von|de|sur|z|из)\s*[\dOolI!]{1,6})?\W*$"
 )
+MIXED = r"\p{L}[0-9!|+$]|[0-9!|+$]\p{L}"
 OUTER_NUMBER = r"^\W*\d[\dOolI!]{0,5}\s{2,}|\s{2,}[\dOolI!]{1,6}\W*$"
 
 
@@ -110,7 +112,7 @@ def vocabulary(chunks: DataFrame, page: Column) -> DataFrame:
     text = F.when(page, F.regexp_replace("content", CUT, "$1$2")).otherwise(F.col("content"))
     forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(text)).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     w = Window.partitionBy("s")
-    of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumn("most", F.max("n").over(w)).where(F.col("n") * RATIO > F.col("most"))
+    of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumn("most", F.max("n").over(w)).where(F.col("n") * F.when(F.col("form").rlike(MIXED), MIXED_RATIO).otherwise(RATIO) > F.col("most"))
     return of.groupBy("s").agg(F.max(F.struct("n", "form")).alias("b"), F.collect_set("form").alias("good")).select("s", F.col("b.form").alias("best"), F.col("b.n").alias("n"), "good")
 
 
@@ -152,3 +154,38 @@ def scan_traces(chunks: DataFrame, page: Column) -> DataFrame:
         .unionByName(cuts(body, known).where("whole").select("chunk_key", F.lit("hyphen").alias("kind")).distinct())
         .unionByName(misread(body, known).select("chunk_key", F.lit("misread").alias("kind")).distinct())
     )
+
+
+def repaired_pages(chunks: DataFrame, page: Column) -> DataFrame:
+    """(chunk_key, text): each page's body as paragraphs, one line each, a blank line between them.
+
+    Edge marks are gone, cut words are whole (compounds keep their hyphen), misread words are replaced
+    by their group's best form in their own letter case. Lines are numbered into paragraphs by a running
+    window over each page; blank lines part them. A page without body gives an empty text.
+    """
+    body = bodies(pages_of(chunks, page))
+    known = vocabulary(chunks, page)
+    w = Window.partitionBy("chunk_key").orderBy("pos")
+    lines = body.select("chunk_key", F.posexplode(F.split("body", "\n")).alias("pos", "line")).select("chunk_key", "pos", F.rtrim("line").alias("line"))
+    lines = lines.select(
+        "*", F.sum((F.trim("line") == "").cast("int")).over(w).alias("para"),
+        F.lower(F.regexp_extract("line", rf"({_PART})[{DIVIDERS}]$", 1)).alias("left"),
+        F.lower(F.regexp_extract(F.lead("line").over(w), rf"^\s*({_PART})", 1)).alias("right"),
+    ).where(F.trim("line") != "")
+    decided = lines.join(cuts(body, known), ["chunk_key", "left", "right"], "left")
+    cut = F.col("whole").isNotNull()
+    bare_line = F.regexp_replace(F.trim("line"), rf"[{DIVIDERS}]$", "")
+    part = F.when(cut & F.col("whole"), bare_line).when(cut, F.concat(bare_line, F.lit("-"))).otherwise(F.concat(F.trim("line"), F.lit(" ")))
+    paras = decided.groupBy("chunk_key", "para").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("t")))), lambda s: s["t"]), "").alias("t"))
+    fixes = misread(body, known).groupBy("chunk_key").agg(F.map_from_entries(F.collect_set(F.struct("form", "best"))).alias("fix"))
+
+    def fix(word: Column) -> Column:
+        b = bare(word)
+        best = F.element_at("fix", F.lower(b))
+        cased = F.when(b == F.upper(b), F.upper(best)).when(F.substring(b, 1, 1) != F.lower(F.substring(b, 1, 1)), F.concat(F.upper(F.substring(best, 1, 1)), F.substring(best, 2, 1 << 20))).otherwise(best)
+        return F.coalesce(F.replace(word, b, cased), word)
+
+    text = F.array_join(F.transform(F.split(F.rtrim("t"), " "), fix), " ")
+    done = paras.join(fixes, "chunk_key", "left").select("chunk_key", "para", text.alias("t"))
+    whole = done.groupBy("chunk_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "t"))), lambda s: s["t"]), "\n\n").alias("text"))
+    return body.select("chunk_key").join(whole, "chunk_key", "left").select("chunk_key", F.coalesce("text", F.lit("")).alias("text"))
