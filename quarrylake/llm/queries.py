@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylake.llm.neardup import similar_rows
+from quarrylake.llm.leaks import leaked_items
+from quarrylake.llm.mojibake import garbled_texts
 from quarrylake.llm.neighbours import nearest_neighbours
 from quarrylake.llm.scans import repaired_pages, scan_traces
 from quarrylake.llm.splitting import LIMIT, split_oversized
@@ -60,7 +62,24 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents").select("doc_id", "text"), "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_regions(spark, folder).where("exact").select("doc_id", "item_id")
+
+
+def p9_regions(spark: SparkSession, folder: str) -> DataFrame:
+    documents, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text")
+    return leaked_items(documents, items, "doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_restored(spark, folder).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_texts(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_regions": p9_regions, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLE: dict[str, str] = {
     "p2_found": r"""
 WITH w AS (SELECT chunk_key, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL),
@@ -68,6 +87,12 @@ s AS (SELECT DISTINCT chunk_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
 n AS (SELECT chunk_key, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.chunk_key AS x, b.chunk_key AS y, count(*) AS o FROM s a JOIN s b USING (s) WHERE a.chunk_key < b.chunk_key GROUP BY 1, 2)
 SELECT x AS chunk_key_a, y AS chunk_key_b FROM p JOIN n nx ON nx.chunk_key = x JOIN n ny ON ny.chunk_key = y WHERE 17 * o >= 7 * (nx.n + ny.n)""",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM d, range(1, len(w) - 11) AS t(i)),
+h AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 12], ' ') AS g FROM e, range(1, len(w) - 11) AS t(i))
+SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g)""",
     "p5_found": """
 WITH RECURSIVE c AS (SELECT chunk_key, string_split(content, chr(10)) AS l FROM chunks WHERE strlen(content) > 2400),
 u AS (SELECT chunk_key, i, strlen(l[i]) + CASE WHEN i < len(l) THEN 1 ELSE 0 END AS n FROM c, range(1, len(l) + 1) AS t(i)),
