@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def slug(c: Column) -> Column:
@@ -74,7 +75,7 @@ def plain_html(html: str) -> str:
     return "\n".join(p.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: plain_html(x) if isinstance(x, str) else None)
 

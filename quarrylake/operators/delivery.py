@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_KEY, _SALT, _RANK = "__key", "__salt", "__rank"
+_KEY, _SALT, _RANK = "__delivery_key", "__delivery_salt", "__delivery_rank"
+
+
+def _clear(df: DataFrame) -> DataFrame:
+    """Internal names are reserved: columns of that name are left out."""
+    return df.drop(_KEY, _SALT, _RANK)
 
 
 def message_key(c: Column) -> Column:
@@ -30,7 +35,7 @@ def surplus_deliveries(df: DataFrame, key: Column, order: Sequence[Column], salt
     Null or empty keys equal nothing and are never surplus. `order` must be total; full ties
     (repeated rows) leave one of them. An empty table gives no rows; extra columns pass through.
     """
-    keyed = df.withColumn(_KEY, key).where(F.col(_KEY).isNotNull())
+    keyed = _clear(df).withColumn(_KEY, key).where(F.col(_KEY).isNotNull())
     salted = keyed.withColumn(_SALT, F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     first = salted.withColumn(_RANK, F.row_number().over(Window.partitionBy(_KEY, _SALT).orderBy(*order)))
     second = first.where(F.col(_RANK) == 1).withColumn(_RANK, F.row_number().over(Window.partitionBy(_KEY).orderBy(*order)))
@@ -39,7 +44,7 @@ def surplus_deliveries(df: DataFrame, key: Column, order: Sequence[Column], salt
 
 def kept_deliveries(df: DataFrame, key: Column, order: Sequence[Column], salt_on: Sequence[str], salts: int = 32) -> DataFrame:
     """One delivery of each message, and every delivery without an identifier."""
-    keyed = df.withColumn(_KEY, key)
+    keyed = _clear(df).withColumn(_KEY, key)
     salted = keyed.where(F.col(_KEY).isNotNull()).withColumn(_SALT, F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     first = salted.withColumn(_RANK, F.row_number().over(Window.partitionBy(_KEY, _SALT).orderBy(*order))).where(F.col(_RANK) == 1)
     second = first.withColumn(_RANK, F.row_number().over(Window.partitionBy(_KEY).orderBy(*order))).where(F.col(_RANK) == 1)

@@ -21,8 +21,12 @@ def _joined(old: DataFrame, new: DataFrame) -> DataFrame:
     return side(old, "old").join(side(new, "new"), KEY, "full_outer")
 
 
+def _side(c: str) -> Column:
+    return F.when(F.col("in_new"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}"))
+
+
 def _change(status: Column) -> list[Column]:
-    return [*map(F.col, KEY), status.alias("status"), F.coalesce("new_hash", "old_hash").alias("content_hash"), F.coalesce("new_size", "old_size").alias("size")]
+    return [*map(F.col, KEY), status.alias("status"), _side("hash").alias("content_hash"), _side("size").alias("size")]
 
 
 def diff_states(old: DataFrame, new: DataFrame) -> DataFrame:

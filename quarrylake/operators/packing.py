@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 # Fixed values.
 SHARD_FILES, SHARD_BYTES = 5000, 256 << 20
@@ -23,7 +24,7 @@ def pack(df: DataFrame, group: str, order: str, weight: str, most: int = SHARD_F
     """
     n = df.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / slice_rows)).cast("int").alias("__slices"))
     cut = df.join(n, group).withColumn("__slice", F.when(F.col("__slices") == 1, 0).otherwise(F.pmod(F.xxhash64(order), F.col("__slices")))).drop("__slices")
-    schema = cut.schema.add("__local", "int")
+    schema = StructType([*cut.schema.fields, StructField("__local", IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
