@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on, whatever the size of the table
 MOST_LISTS = 2048
 LIST_ROWS = 8192
-PARTS = 16
+PARTS = 32
 CODES = 256
 SEED = 7
 
@@ -101,7 +101,7 @@ def _search(q: np.ndarray, qid: np.ndarray, m: np.ndarray, mid: np.ndarray, code
     return rows[good], member[good], value[good]
 
 
-def nearest_neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, probes: int = 24, rerank: int = 32, sample: int = SAMPLE) -> DataFrame:
+def nearest_neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: int = 5, probes: int = 20, rerank: int = 96, sample: int = SAMPLE) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar other ids of every id with a usable vector.
 
     Rows of one id count once (they have one vector). Null, short, zero or non-finite vectors take no
