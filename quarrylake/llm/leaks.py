@@ -28,6 +28,7 @@ EDITS = 1  # edits that a passage may hold
 EDITED = 40  # characters from which it may
 WORDS = 13
 FILTER_BITS = 22
+HITS = 2_000_000  # shared q-grams looked at together
 
 
 def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,9 +50,12 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
     n = len(codes) - Q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(Q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+    b = np.uint64(0x9E3779B97F4A7C15)
+    one = codes.astype(np.uint64) + np.uint64(1)
+    two = one[:-1] * b + one[1:]
+    four = two[:-2] * b**2 + two[2:]
+    eight = four[:-4] * b**4 + four[4:]
+    h = eight[:n] * b**4 + four[8 : 8 + n]  # Q = 12 = 8 + 4
     return mix(h)
 
 
@@ -67,20 +71,21 @@ class Items:
         h, self.where = h[inside], np.flatnonzero(inside)
         order = np.argsort(h, kind="stable")
         self.hash, self.where = h[order], self.where[order]
-        self.least, self.edits = self._shortest()
+        self.least, self.longest, self.edits = self._runs()
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
 
-    def _shortest(self) -> tuple[np.ndarray, np.ndarray]:
-        """(characters of each item's shortest run of WORDS words, edits allowed); items of fewer words have no run."""
-        least = np.full(len(self.ids), 1 << 40, np.int64)
+    def _runs(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """(characters of each item's shortest run of WORDS words, of the longest of all, edits allowed); items of fewer words have no run."""
+        least, longest = np.full(len(self.ids), 1 << 40, np.int64), 0
         for t in range(len(self.ids)):
             own = np.append(0, self.codes[self.starts[t] : self.starts[t + 1]])
             parts = np.flatnonzero(own == 0)
             if len(parts) > WORDS:
-                least[t] = (parts[WORDS:] - parts[:-WORDS]).min() - 1
-        return least, np.where(least >= EDITED, EDITS, 0)
+                sizes = parts[WORDS:] - parts[:-WORDS]
+                least[t], longest = sizes.min() - 1, max(longest, int(sizes.max()))
+        return least, longest, np.where(least >= EDITED, EDITS, 0)
 
 
 def regions(items: Items, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -90,7 +95,19 @@ def regions(items: Items, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     lo, hi = np.searchsorted(items.hash, h[at], "left"), np.searchsorted(items.hash, h[at], "right")
     hit = hi > lo
     at, lo, hi = at[hit], lo[hit], hi[hit]
-    # places are independent of one another: the hits are expanded in slices of bounded size
+    # windows of the text with a bounded number of hits; they overlap by more than a passage, so that each lies wholly in one
+    overlap, total, out, s = items.longest + 2 * Q, np.cumsum(hi - lo), [], 0
+    while s < len(at):
+        e = int(np.searchsorted(total, (total[s - 1] if s else 0) + HITS, side="right"))
+        e = max(e, int(np.searchsorted(at, at[s] + 2 * overlap)))
+        out.append(_regions(items, starts, at[s:e], lo[s:e], hi[s:e]))
+        if e >= len(at):
+            break
+        s = int(np.searchsorted(at, at[e] - overlap))  # a passage that is not whole here holds at[e] or begins after it
+    return np.concatenate(out) if out else np.empty((0, 6), np.int64)
+
+
+def _regions(items: Items, starts: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     place = np.repeat(at, hi - lo)
     where = items.where[np.repeat(lo, hi - lo) + np.arange(len(place)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
     doc = np.searchsorted(starts, place, side="right") - 1
@@ -118,18 +135,30 @@ def regions(items: Items, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 6), np.int64)
 
 
-def banded_edits(a: np.ndarray, b: np.ndarray, offset: int, width: int) -> int:
-    """Least edits between a and the best-placed stretch of b, on the diagonals offset..offset+width-1 of b against a."""
-    far = len(a) + 1
-    row = np.zeros(width, np.int64)
+def banded_edits(text: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> np.ndarray:
+    """Least edits between text[first:first+size] and the best-placed stretch of other[start:start+count], for each region.
+
+    Only the diagonals offset..offset+width-1 (place in the other less place in the text) are filled in;
+    all regions advance together, a character a step, the longer ones longer.
+    """
+    order = np.argsort(-size, kind="stable")
+    first, start, count, offset = first[order], start[order], count[order], offset[order]
+    running = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # regions longer than i
+    row = np.zeros((len(order), width), np.int64)
     step = np.arange(width)
-    for i in range(len(a)):
-        j = i + offset + step
-        inside = (j >= 0) & (j < len(b))
-        same = inside & (b[np.clip(j, 0, len(b) - 1)] == a[i]) if len(b) else inside
-        cost = np.minimum(np.where(inside, row + ~same, far), np.append(row[1:], far) + 1)
-        row = np.minimum.accumulate(cost - step) + step  # a character of b left out
-    return int(row.min())
+    far = int(size.max(initial=0)) + 1
+    for i, k in enumerate(running.tolist()):
+        j = i + offset[:k, None] + step
+        inside = (j >= 0) & (j < count[:k, None])
+        same = inside & (other[np.where(inside, start[:k, None] + j, 0)] == text[first[:k] + i][:, None])
+        old = row[:k]
+        skip = np.full_like(old, far)
+        skip[:, :-1] = old[:, 1:] + 1
+        cost = np.minimum(np.where(inside, old + ~same, far), skip)
+        row[:k] = np.minimum.accumulate(cost - step, axis=1) + step  # a character of the other left out
+    out = np.empty(len(order), np.int64)
+    out[order] = row.min(1)
+    return out
 
 
 def _word_runs(codes: np.ndarray) -> np.ndarray:
@@ -154,10 +183,14 @@ def leaks_in(items: Items, texts: list[str]) -> list[tuple[int, int, bool, int,
     codes, starts = plain(texts)
     best: dict[tuple[int, int], tuple[bool, int, int]] = {}
     width = 2 * (EDITS + 1)
-    for d, t, band, first, last, _ in regions(items, codes, starts).tolist():
-        i0, i1 = int(items.starts[t]), int(items.starts[t + 1])
-        a, b = max(i0, first - band - width), min(i1, last - band + width)
-        edits = banded_edits(codes[first:last], items.codes[a:b], first - band - (width - 1) - a, width)
+    found_at = regions(items, codes, starts)
+    if not len(found_at):
+        return []
+    doc, item, band, first, last, _ = found_at.T
+    low, high = items.starts[item], items.starts[item + 1]
+    a, b = np.maximum(low, first - band - width), np.minimum(high, last - band + width)
+    edits_of = banded_edits(codes, first, last - first, items.codes, a, np.maximum(b - a, 0), first - band - (width - 1) - a, width)
+    for d, t, first, last, a, b, i0, i1, edits in zip(*(x.tolist() for x in (doc, item, first, last, a, b, low, high, edits_of))):
         near = edits <= EDITS * max(1, (last - first) // int(items.least[t])) and last - first >= items.least[t] - Q
         d0, d1 = int(starts[d]), int(starts[d + 1])
         # to whole words on either side

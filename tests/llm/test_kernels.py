@@ -160,7 +160,9 @@ def brute_leaks(docs, items, n=13):
     return {(d, i) for d, t in enumerate(docs) for i in range(len(items)) if runs(t) & r[i]}
 
 
-def test_leaks_against_brute_force():
+@pytest.mark.parametrize("hits", [2_000_000, 50])
+def test_leaks_against_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(leaks, "HITS", hits)
     rnd = random.Random(6)
     vocab = [f"{a}{b}" for a in "a bc def ghij" .split() for b in ["", "x", "yz", "long"]] + list("abcde")
     items = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([5, 13, 14, 40]))) for _ in range(30)] + ["a " * 13, "", "one two"]
@@ -178,6 +180,12 @@ def test_leaks_against_brute_force():
     assert leaks.leaks_in(leaks.Items([], []), docs) == [] and leaks.leaks_in(table, [""]) == []
 
 
+def test_leak_in_a_monotonous_text():
+    item = "to be or not to be " * 20
+    got = leaks.leaks_in(leaks.Items([1, 2], [item, item + "that"]), ["to be or not " * 20_000, "be " * 200_000])
+    assert sorted((d, i) for d, i, exact, *_ in got if exact) == sorted(brute_leaks(["to be or not " * 50, "be " * 99], [item, item + "that"]))
+
+
 def test_leak_with_an_edit():
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions in the old tower tonight"
     doc = "before it " + item.replace("wizards", "wizrds") + " and after"
@@ -187,7 +195,9 @@ def test_leak_with_an_edit():
 
 def test_banded_edits():
     code = lambda s: np.array([ord(c) for c in s], np.uint32)
-    assert leaks.banded_edits(code("abcdef"), code("abXcdef"), -1, 4) == 1 and leaks.banded_edits(code("abc"), code("zzabc"), 0, 4) == 0
+    got = leaks.banded_edits(code("abcdef.abc"), np.array([0, 7]), np.array([6, 3]), code("abXcdef.zzabc"), np.array([0, 8]), np.array([7, 5]), np.array([-1, 0]), 4)
+    assert got.tolist() == [1, 0]
+    assert leaks.banded_edits(code(""), *[np.empty(0, np.int64)] * 2, code(""), *[np.empty(0, np.int64)] * 3, 4).tolist() == []
 
 
 CLEAN = "São Müller größer déjà naïve Ångström señor Žirovec “quoted” – don’t café ñandú Привет мир заявку таблицу".split()
