@@ -19,6 +19,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLOCK_CHARS = 1 << 20
 BLOCK_TEXTS = 4096
+STRETCH = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -77,10 +78,17 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     edge = np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    p, q = powers(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((lower[codes].astype(np.uint64) + np.uint64(1)) * p[:-1], out=total[1:])
-    h = (total[last] - total[first]) * q[first]
+    h = np.empty(len(first), np.uint64)
+    i = 0
+    while i < len(first):  # a long text goes a stretch of whole words at a time
+        a = first[i]
+        j = int(np.searchsorted(first, a + STRETCH))
+        own = lower[codes[a : last[j - 1]]].astype(np.uint64) + np.uint64(1)
+        p, q = powers(len(own) + 1)
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own * p[:-1], out=total[1:])
+        h[i:j] = (total[last[i:j] - a] - total[first[i:j] - a]) * q[first[i:j] - a]
+        i = j
     h += (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     return mix(h), np.searchsorted(ends, first, side="right")

@@ -30,6 +30,13 @@ def test_words(texts):
     assert len(set(names.values())) == len(names)
 
 
+def test_words_do_not_depend_on_their_stretch(monkeypatch):
+    texts = ["some words in a row, some more words", "words in a row"]
+    whole = wordhash.words(texts)[0].tolist()
+    monkeypatch.setattr(wordhash, "STRETCH", 7)
+    assert wordhash.words(texts)[0].tolist() == whole and whole[0] == whole[5] and whole[1:5] == whole[8:12]
+
+
 def brute_pairs(texts, num=7, den=10):
     sets = []
     for t in texts:
