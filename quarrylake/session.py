@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,28 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "12g") -
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they wouldn't find it by themselves.
+
+    They do if the driver runs in the repository or has it in PYTHONPATH. Otherwise the package is
+    zipped once per application; Spark serves the file to its executors.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = {os.path.abspath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    app = spark.sparkContext.applicationId
+    if root in known or app in _shipped:
+        return
+    _shipped.add(app)
+    staged = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "quarrylake"), "zip", root, "quarrylake")
+    spark.sparkContext.addPyFile(staged)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table NAME of a folder of Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
