@@ -84,14 +84,15 @@ def corpus_sketch(df: DataFrame, content: str, k: int, bits: int = SKETCH_BITS)
         at = at[np.argsort(n[at] > 1, kind="stable")]
         return pa.table({"r": pa.array([t["r"][0].as_py()], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "n": [n[at][n[at] > 1].tobytes()]})
 
+    def classes(t: pa.Table) -> pa.Table:
+        return pa.table({"r": pa.array([t["r"][0].as_py()], pa.int32()), "c": [zlib.compress(np.frexp(add(t).astype(np.float64))[1].astype(np.uint8).tobytes(), 1)]})
+
     parts = df.select(content).where(F.col(content).isNotNull()).mapInArrow(count, "r int, part int, at binary, n binary")
     halves = parts.groupBy("r", "part").applyInArrow(merge, "r int, at binary, n binary")
     out = np.zeros(1 << bits, np.uint8)
-    for row in halves.groupBy("r").applyInArrow(merge, "r int, at binary, n binary").collect():
-        at, n = np.frombuffer(row["at"], np.uint16).astype(np.int64), np.frombuffer(row["n"], np.uint32)
-        classes = np.ones(len(at), np.uint8)
-        classes[len(at) - len(n) :] = np.frexp(n.astype(np.float64))[1]
-        out[(row["r"] << RANGE_BITS) + at] = classes
+    for row in halves.groupBy("r").applyInArrow(classes, "r int, c binary").collect():
+        at = row["r"] << RANGE_BITS
+        out[at : at + (1 << RANGE_BITS)] = np.frombuffer(zlib.decompress(row["c"]), np.uint8)
     return out
 
 
