@@ -42,8 +42,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
     for _ in range(rounds):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, at, x)
+        total = np.stack([np.bincount(at, x[:, d], k) for d in range(x.shape[1])], 1)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), k)])
     return c.astype(np.float32)
 
@@ -179,14 +178,17 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, dim: int = 64, k: i
                 for at in range(mid, e, size):
                     q, qid = _unpack(vec.slice(at, min(size, e - at)).to_pylist(), dim), ident[at : min(at + size, e)]
                     x, y, value = _search(q, qid[:, 0], m, ids[:, 0], codes, c[cell[s] >> 20], books, k, rerank)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[x, 0]), pa.array(qid[x, 1].astype(np.int32)), pa.array(ids[y, 0]), pa.array(ids[y, 1].astype(np.int32)), pa.array(value)], ["qa", "qb", "a", "b", "cosine"])
+                    rows, begin = np.unique(x, return_index=True)
+                    best = pa.StructArray.from_arrays([pa.array(-value), pa.array(ids[y, 0]), pa.array(ids[y, 1].astype(np.int32))], ["far", "a", "b"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(x)).astype(np.int32)), best)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[rows, 0]), pa.array(qid[rows, 1].astype(np.int32)), lists], ["qa", "qb", "best"])
 
     placed = entries.select("a", "b", "v").mapInArrow(place, "list int, sub int, role byte, a long, b int, v binary, code binary")
     cells = placed.repartition("list", "sub").sortWithinPartitions("list", "sub", "role")
-    found = cells.mapInArrow(ask, "qa long, qb int, a long, b int, cosine double")
-    # the k best entries of each entry, then their ids: at most (k + 1) ** 2 of an entry
-    w = Window.partitionBy("qa", "qb").orderBy(F.col("cosine").desc(), "a", "b")
-    near = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 3 * k).drop("r")
+    found = cells.mapInArrow(ask, "qa long, qb int, best array<struct<far: double, a: long, b: int>>")
+    # the best entries of each entry: of at most probes * k, some more than k for equal similarities; then their ids
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 3)
+    near = found.groupBy("qa", "qb").agg(best.alias("n")).select("qa", "qb", F.inline("n")).select("qa", "qb", "a", "b", (-F.col("far")).alias("cosine"))
     own = entries.select(F.col("a").alias("qa"), F.col("b").alias("qb"), "a", "b", F.lit(1.0).alias("cosine"))
     offers = near.unionByName(own).join(entries.select("a", "b", "ids"), ["a", "b"]).select("qa", "qb", "cosine", F.explode("ids").alias("neighbour"))
     ranked = offers.withColumn("r", F.row_number().over(Window.partitionBy("qa", "qb").orderBy(F.col("cosine").desc(), "neighbour"))).where(F.col("r") <= k + 1)
