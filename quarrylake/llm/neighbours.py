@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on, whatever the size of the table
+BOOK_SAMPLE = 6_000  # of these, residuals that the codebooks are fitted on
 MOST_LISTS = 2048
 LIST_ROWS = 8192
 PARTS = 32
@@ -52,7 +53,7 @@ def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     rng = np.random.default_rng(SEED)
     c = kmeans(sample, lists, 8, rng)
     at = _nearest(sample, c)
-    r = sample - c[at]
+    r = (sample - c[at])[rng.permutation(len(sample))[:BOOK_SAMPLE]]
     step = sample.shape[1] // PARTS
     books = np.stack([kmeans(r[:, p * step : (p + 1) * step], CODES, 6, rng) for p in range(PARTS)])
     return c, books, np.bincount(at, minlength=lists) / len(sample)
