@@ -364,8 +364,10 @@ def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den:
     return both.select("x", "y", "cx", "cy").mapInArrow(verify, "x binary, y binary")
 
 
-#: Three words, as the JVM sees them.
-HAS_SHINGLE = r"(?s).*?[\p{L}\p{N}](?:[\p{L}\p{N}]*[^\p{L}\p{N}]+[\p{L}\p{N}]){2}"
+def has_shingle(content: str, k: int) -> Column:
+    """Whether a text has k words, as the JVM sees them; possessive, so that it takes one pass over any text."""
+    word = r"\p{L}\p{N}"
+    return F.col(content).rlike(f"^[^{word}]*+" + f"[{word}]++[^{word}]++" * (k - 1) + f"[{word}]")
 
 
 def similar_rows(df: DataFrame, key: str, content: str = "content", num: int = 7, den: int = 10, k: int = 3) -> DataFrame:
@@ -377,8 +379,7 @@ def similar_rows(df: DataFrame, key: str, content: str = "content", num: int = 7
     """
     pairs = similar_contents(df, content, num, den, k)
     id_ = identity(content)
-    some = F.col(content).rlike(HAS_SHINGLE.replace("{2}", f"{{{k - 1}}}"))
-    rows = df.where(F.col(content).isNotNull() & some).select(id_.alias("id"), F.col(key).alias("key")).where("id is not null and key is not null")
+    rows = df.where(F.col(content).isNotNull() & has_shingle(content, k)).select(id_.alias("id"), F.col(key).alias("key")).where("id is not null and key is not null")
     member = lambda side, name: rows.select(F.col("id").alias(side), F.col("key").alias(name))
     apart = pairs.join(member("x", "p"), "x").join(member("y", "q"), "y").select("p", "q")
     same = member("x", "p").join(member("x", "q"), "x").where("p < q").select("p", "q")

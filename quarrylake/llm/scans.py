@@ -28,7 +28,7 @@ OUTER = ".,;:\"'()?!…“”‘’[]«»¿¡–—*"  # stripped from words, bu
 RATIO, MIXED_RATIO = 12, 2
 EDGE = 3  # lines from the top and from the bottom that may be header or page number
 
-_PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]*"
+_PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]{0,63}"  # bounded, so that a text without blanks takes one pass
 CUT = rf"({_PART})[{DIVIDERS}][ \t]*\r?\n[ \t]*({_PART})"
 # Styles of printed page numbers; a digit may be misread as a letter.
 NUMBER = (
@@ -36,7 +36,7 @@ NUMBER = (
     r"(?:\d[\dOolI!]{0,5}|[OolI!]{1,2}\d{1,5}|[ivxl]{1,7})(?:\s*(?:of|0f|ot|/|von|de|sur|z|из)\s*[\dOolI!]{1,6})?\W*$"
 )
 MIXED = r"\p{L}[0-9!|+$]|[0-9!|+$]\p{L}"
-OUTER_NUMBER = r"^\W*\d[\dOolI!]{0,5}\s{2,}|\s{2,}[\dOolI!]{1,6}\W*$"
+OUTER_NUMBER = r"^\W*\d[\dOolI!]{0,5}\s{2,}|(?<!\s)\s{2,}+[\dOolI!]{1,6}\W*$"
 
 
 def skeleton(word: Column) -> Column:

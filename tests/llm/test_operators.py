@@ -34,7 +34,7 @@ def test_query(spark, con, data, name):
 
 
 def pairs(df):
-    return sorted(tuple(r) for r in similar_rows(df, "k", sketch_bits=16) .collect()) if False else sorted(tuple(r) for r in similar_rows(df, "k").collect())
+    return sorted(tuple(r) for r in similar_rows(df, "k").collect())
 
 
 def test_similar_rows(spark):
@@ -135,6 +135,16 @@ def test_leaks(spark):
     assert leaked_items(docs.limit(0), items, "id", "id").count() == 0
 
 
+def test_texts_without_blanks(spark):
+    """A long text of one word takes no longer than its length asks."""
+    long = "xyz1" * 250_000
+    df = spark.createDataFrame([(1, long, "f", 0, "é"), (2, long, "f", 1, "é"), (3, "-" * 500_000, "f", 2, "é")], "chunk_key long, content string, file_path string, chunk_index int, x string")
+    assert similar_rows(df, "chunk_key").count() == 0
+    assert sorted(tuple(r) for r in scan_traces(df, F.lit(True)).collect()) == [(1, "header"), (2, "header")]  # one line heads both
+    assert garbled_texts(df.withColumn("content", F.concat("content", F.lit(" "), "x")), "chunk_key", "content").count() == 0
+    assert split_oversized(df, "chunk_key").count() > 800
+
+
 def test_garbled(spark):
     clean = ["Der Händler prüft die größere Lösung", "Señor Muñoz añadió la línea", "La théorie n’est pas prête", "Отчёт о школе передан в среду"]
     rows = [(i, clean[i % 4], "x") for i in range(200)] + [(900, "Der HÃ¤ndler prÃ¼ft", "x"), (901, None, "x"), (902, "", "x"), (903, "ascii only", "x"), (904, "théorie �", "x"), (905, "ÎÒ×¸Ò".encode("cp1252").decode("cp1252") + " " + "Отчёт о школе".encode("cp1251").decode("cp1252"), "x")]
