@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarrylake.functions import access as A
 from quarrylake.functions import filetypes, paths, text, vectors
 from quarrylake.functions.hashes import bare_hash, chunk_id, file_hash, path_shard, shard_namespace
-from quarrylake.operators import access, chunking, diff, jobs, merkle, packing, ranking, reads, visibility
+from quarrylake.operators import access, chunking, diff, events, jobs, merkle, packing, ranking, reads, visibility
 from quarrylake.plans.search import candidates, search
 from quarrylake.session import table
 from quarrylake.streaming import follow
@@ -660,3 +660,26 @@ def vector_unit(spark, folder):
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS file_hash FROM documents WHERE text IS NOT NULL")
 def file_hashes(spark, folder):
     return table(spark, folder, "documents").where(F.col("text").isNotNull()).select("doc_id", file_hash(F.col("text")).alias("file_hash"))
+
+
+# ---- events and reports -----------------------------------------------------------------------
+
+
+@query("SELECT event_id, (1 + (user_id IS NOT NULL)::int + (value IS NOT NULL)::int + 1)::int AS n, event_type AS kind, 'web' AS source FROM events WHERE event_type IS NOT NULL")
+def event_enrichment(spark, folder):
+    e = table(spark, folder, "events").where("event_type is not null")
+    own = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("value"), F.col("value").cast("string"))
+    got = events.enriched(e, own, {"source": "web", "kind": "unused"}, "p")
+    return got.select("event_id", F.size("p").alias("n"), F.col("p")["kind"].alias("kind"), F.col("p")["source"].alias("source"))
+
+
+@query()
+def dry_run_report(spark, folder):
+    return events.dry_run(diff_stats(spark, folder))
+
+
+@query(_bm25_sql(_DOCS, "doc_id") + "SELECT printf('%.4f', s.score) || '  ' || file_path || '#0' AS line FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 10) s JOIN documents USING (doc_id)")
+def result_lines(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", "file_path", F.lit(0).alias("chunk_index"), "text")
+    best = ranking.top(ranking.bm25(d, "text", QUERY), 10, ["doc_id"])
+    return events.result_lines(best, False)

@@ -184,3 +184,13 @@ def test_sync_lifecycle(spark, tmp_path):
     assert sorted(bytes(r.content) for r in ranged.collect()) == [b"abcdef", b"cde"]
     st = scan(files())
     assert scan(files(), st).orderBy("path").collect() == st.orderBy("path").collect()
+
+
+def test_events_and_reports(spark):
+    from quarrylake.operators.events import dry_run, enriched
+
+    df = spark.createDataFrame([(1, {"a": "x", "b": None}), (2, None)], "i int, m map<string,string>")
+    got = {r.i: r.props for r in enriched(df, F.col("m"), {"a": "shared", "c": "y"}).collect()}
+    assert got == {1: {"a": "x", "c": "y"}, 2: {"a": "shared", "c": "y"}}
+    stats = diff.diff_stats(diff.with_moves(diff.diff_states(state(spark, {"a": "h", "b": "k"}), state(spark, {"a": "g", "c": "k"}))))
+    assert dry_run(stats).first().report == "1 modified, 1 renamed; 1 uploads, 1 B"
