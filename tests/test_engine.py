@@ -85,6 +85,19 @@ def test_packing(spark):
     assert sorted(sum(by(most=2, slice_rows=1), [])) == ["a", "c", "d"]
 
 
+def test_packing_in_slices(spark):
+    rows = [(f"r{g}", f"p{i:04}", (i * 7919 + g) % 50 if i % 9 else None) for g in range(3) for i in range(400 * g + 1)]
+    df = spark.createDataFrame(rows, "root_id string, path string, size long")
+    got = lambda n: {(r.root_id, r.path): r.shard for r in packing.pack(df, "root_id", "path", "size", most=23, limit=300, slice_rows=n).collect()}
+    want, state = {}, {}
+    for g, p, w in rows:
+        shard, count, size = state.get(g, (0, 0, 0))
+        if count and (count >= 23 or size + (w or 0) > 300):
+            shard, count, size = shard + 1, 0, 0
+        want[g, p], state[g] = shard, (shard, count + 1, size + (w or 0))
+    assert got(50_000) == want and got(100) == want and got(37) == want
+
+
 def test_visibility(spark):
     cases = [(1, 1, 0, True), (5, 1, 0, True), (2, 3, 0, False), (3, 1, 4, True), (4, 1, 4, False), (5, 1, 4, False), (0, 1, 0, False)]
     for seq, a, b, want in cases:
