@@ -4,7 +4,8 @@ Four traces are told apart. A word cut at a line end by a dividing mark is put t
 corpus knows the whole word better than the compound. Misread characters are found through glyph
 skeletons: every word is rewritten into strokes that look alike (rn = m, cl = d, 0 = o ...), words of
 one skeleton form a group, and a form that is rare beside its group's frequent form is a misreading of
-it. Running headers are edge lines whose skeleton, page numbers masked, recurs at the edge of another
+it. Where several forms of a group are known words, the neighbouring words choose among them at each
+place. Running headers are edge lines whose skeleton, page numbers masked, recurs at the edge of another
 page of the file. Page numbers are edge lines that hold a number and nothing else. Word statistics
 cover every chunk of the corpus, pages or not.
 
@@ -26,6 +27,9 @@ OUTER = ".,;:\"'()?!…“”‘’[]«»¿¡–—*"  # stripped from words, bu
 #: A form is misread if its group's best form is at least so many times as frequent; the second figure
 #: holds for forms with a digit or sign among their letters.
 RATIO, MIXED_RATIO = 12, 2
+SEEN = 3  # chunks from which a form may be a word of its own; groups with two such forms are told by context
+BITS = 1 << 18  # of the sketch of these groups' forms, whatever the corpus; it only spares rows before the exact join
+BREAK = "¶"  # stands between paragraphs, where no neighbour is
 EDGE = 3  # lines from the top and from the bottom that may be header or page number
 
 _PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]{0,63}"  # bounded, so that a text without blanks takes one pass
@@ -104,16 +108,77 @@ def words_of(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), bare)), lambda w: w.rlike(r"\p{L}"))
 
 
-def vocabulary(chunks: DataFrame, page: Column) -> DataFrame:
-    """(s, best, n, good): each skeleton's most frequent form and every form that isn't rare beside it.
+def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
+    """(s, form, n, most, good, contested): every form of the corpus beside its skeleton's most frequent.
 
-    A word counts once per chunk. On pages, words cut at a line end count as put together.
+    A word counts once per chunk. On pages, words cut at a line end count as put together. good: not rare
+    beside the most frequent. contested: two forms of the skeleton, without digits and signs, stand in SEEN chunks or more.
     """
-    text = F.when(page, F.regexp_replace("content", CUT, "$1$2")).otherwise(F.col("content"))
-    forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(text)).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(joined(page))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     w = Window.partitionBy("s")
-    of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumn("most", F.max("n").over(w)).where(F.col("n") * F.when(F.col("form").rlike(MIXED), MIXED_RATIO).otherwise(RATIO) > F.col("most"))
-    return of.groupBy("s").agg(F.max(F.struct("n", "form")).alias("b"), F.collect_set("form").alias("good")).select("s", F.col("b.form").alias("best"), F.col("b.n").alias("n"), "good")
+    of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumns({"most": F.max("n").over(w), "contested": F.sum(((F.col("n") >= SEEN) & ~F.col("form").rlike(MIXED)).cast("int")).over(w) > 1})
+    return of.withColumn("good", F.col("n") * ratio() > F.col("most"))
+
+
+def joined(page: Column) -> Column:
+    return F.when(page, F.regexp_replace("content", CUT, "$1$2")).otherwise(F.col("content"))
+
+
+def ratio() -> Column:
+    return F.when(F.col("form").rlike(MIXED), MIXED_RATIO).otherwise(RATIO)
+
+
+def vocabulary(forms: DataFrame) -> DataFrame:
+    """(s, best, n, good, contested): each skeleton's most frequent form and every form that isn't rare beside it."""
+    of = forms.where("good").groupBy("s").agg(F.max(F.struct("n", "form")).alias("b"), F.collect_set("form").alias("good"), F.first("contested").alias("contested"))
+    return of.select("s", F.col("b.form").alias("best"), F.col("b.n").alias("n"), "good", "contested")
+
+
+def places(df: DataFrame, text: Column, forms: DataFrame) -> DataFrame:
+    """df's columns but its texts, with (form, l, r): every place of a contested form, with the words beside it."""
+    bit = lambda form: F.pmod(F.xxhash64(form), F.lit(BITS))
+    own = forms.where("contested").select(bit(F.col("form")).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
+    sketch = own.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("a")).scalar()
+    keys = [c for c in df.columns if c not in ("content", "whole", "body", "heads")]
+    t = df.select(*keys, F.split(F.lower(text), r"\s+").alias("t"))
+    three = F.arrays_zip(F.array_prepend("t", F.lit(BREAK)).alias("l"), F.col("t").alias("form"), F.slice("t", 2, F.size("t")).alias("r"))
+    rows = t.select(*keys, F.inline(three)).where("form is not null").withColumn("form", bare(F.col("form")))
+    b = bit(F.col("form"))
+    hit = rows.where(F.getbit(sketch[F.shiftright(b, 6).cast("int")], (b % 64).cast("int")) == 1)
+    return hit.withColumns({"l": bare(F.col("l")), "r": bare(F.coalesce("r", F.lit(BREAK)))})
+
+
+def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame) -> DataFrame:
+    """(chunk_key, form, l, r, best): places of contested forms that are misread, with the form that belongs there.
+
+    A form is supported at a place by the number of different places in the corpus where it follows the same
+    word, and of those where it precedes the same word, the place itself left out, and by its share of the
+    group's chunks. A misread place takes the good form of most support. A rare form is a word of its own
+    where no good form is known beside either neighbour and it is in SEEN places itself; else it is misread.
+    A good form is misread if another good form outweighs it on either side as RATIO says.
+    """
+    c = forms.where("contested")
+    choices = c.where("good").groupBy("s").agg(F.collect_list(F.struct("form", "n")).alias("choices"))
+    group = c.join(choices, "s").select("form", "good", "most", "n", "choices", ratio().alias("ratio"))
+    text_of = chunks.where(F.col("content").isNotNull()).select(joined(page).alias("whole"))
+    seen = places(text_of, F.col("whole"), forms).where("form is not null and l is not null and r is not null").distinct()
+    left = seen.groupBy(F.col("form").alias("g"), "l").agg(F.count("*").alias("a"))
+    right = seen.groupBy(F.col("form").alias("g"), "r").agg(F.count("*").alias("b"))
+    text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", CUT, "$1$2"), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
+    here = places(body.select("chunk_key", "body", "heads"), text, forms).select("chunk_key", "form", "l", "r").distinct()
+    tried = here.select("form", "l", "r").distinct().join(group, "form")
+    own = F.struct("form", "n")
+    tried = tried.select("form", "l", "r", "good", "ratio", F.explode(F.array_union("choices", F.array(own))).alias("x"), "most").select("*", F.col("x.form").alias("g"), (F.col("x.n") / F.col("most")).alias("share")).drop("x")
+    counted = tried.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").fillna(0, ["a", "b"])
+    mine = F.col("g") == F.col("form")
+    less = lambda c: F.when(mine, F.greatest(F.col(c) - 1, F.lit(0))).otherwise(F.col(c))
+    known = counted.withColumns({"a": less("a"), "b": less("b")}).withColumn("support", F.col("a") + F.col("b") + F.col("share"))
+    side = F.struct("support", "a", "b", "share", "g")
+    two = known.groupBy("form", "l", "r").agg(F.first("good").alias("good"), F.first("ratio").alias("ratio"), F.max(F.when(mine, side)).alias("f"), F.max(F.when(~mine, side)).alias("o")).where("o is not null")
+    both = (F.col("o.a") > F.col("ratio") * (F.col("f.a") + F.col("f.share"))) & (F.col("o.b") > F.col("ratio") * (F.col("f.b") + F.col("f.share")))
+    word = (F.col("o.a") + F.col("o.b") == 0) & (F.col("f.a") + F.col("f.b") >= SEEN - 1)
+    wrong = two.where(F.when(F.col("good"), both).otherwise(~word)).select("form", "l", "r", F.col("o.g").alias("best"))
+    return here.join(wrong, ["form", "l", "r"]).select("chunk_key", "form", "l", "r", "best")
 
 
 def cuts(body: DataFrame, known: DataFrame) -> DataFrame:
@@ -131,12 +196,14 @@ def cuts(body: DataFrame, known: DataFrame) -> DataFrame:
     return n.select("chunk_key", "left", "right", (F.coalesce("one", F.lit(0)) >= F.coalesce("two", F.lit(0))).alias("whole"))
 
 
-def misread(body: DataFrame, known: DataFrame) -> DataFrame:
-    """(chunk_key, form, best): words of body and header that are rare beside a form of equal strokes."""
+def misread(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_key, form, best, l, r): words of body and header that are misread; l and r are null where a form is so at every place."""
     text = F.concat_ws("\n", F.regexp_replace("body", CUT, "$1$2"), "heads")
     compound = F.regexp_replace("body", CUT, "$1-$2")
     w = body.select("chunk_key", F.explode(F.array_intersect(words_of(text), F.array_union(words_of(text), words_of(compound)))).alias("form"))
-    return w.withColumn("s", skeleton(F.col("form"))).join(known, "s").where(~F.array_contains("good", F.col("form"))).select("chunk_key", "form", "best")
+    rare = w.withColumn("s", skeleton(F.col("form"))).join(known, "s").where(~F.col("contested") & ~F.array_contains("good", F.col("form")))
+    none = F.lit(None).cast("string")
+    return rare.select("chunk_key", "form", "best", none.alias("l"), none.alias("r")).unionByName(told_by_context(chunks, page, body, forms))
 
 
 def scan_traces(chunks: DataFrame, page: Column) -> DataFrame:
@@ -147,12 +214,13 @@ def scan_traces(chunks: DataFrame, page: Column) -> DataFrame:
     same file_path, so repeated rows of one page aren't enough.
     """
     body = bodies(pages_of(chunks, page))
-    known = vocabulary(chunks, page)
+    forms = forms_of(chunks, page)
+    known = vocabulary(forms)
     kinds = F.array_distinct(F.transform("marks", lambda m: m["kind"]))
     return (
         body.select("chunk_key", F.explode(kinds).alias("kind"))
         .unionByName(cuts(body, known).where("whole").select("chunk_key", F.lit("hyphen").alias("kind")).distinct())
-        .unionByName(misread(body, known).select("chunk_key", F.lit("misread").alias("kind")).distinct())
+        .unionByName(misread(chunks, page, body, forms, known).select("chunk_key", F.lit("misread").alias("kind")).distinct())
     )
 
 
@@ -164,7 +232,8 @@ def repaired_pages(chunks: DataFrame, page: Column) -> DataFrame:
     window over each page; blank lines part them. A page without body gives an empty text.
     """
     body = bodies(pages_of(chunks, page))
-    known = vocabulary(chunks, page)
+    forms = forms_of(chunks, page)
+    known = vocabulary(forms)
     w = Window.partitionBy("chunk_key").orderBy("pos")
     lines = body.select("chunk_key", F.posexplode(F.split("body", "\n")).alias("pos", "line")).select("chunk_key", "pos", F.rtrim("line").alias("line"))
     lines = lines.select(
@@ -177,15 +246,19 @@ def repaired_pages(chunks: DataFrame, page: Column) -> DataFrame:
     bare_line = F.regexp_replace(F.trim("line"), rf"[{DIVIDERS}]$", "")
     part = F.when(cut & F.col("whole"), bare_line).when(cut, F.concat(bare_line, F.lit("-"))).otherwise(F.concat(F.trim("line"), F.lit(" ")))
     paras = decided.groupBy("chunk_key", "para").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", part.alias("t")))), lambda s: s["t"]), "").alias("t"))
-    fixes = misread(body, known).groupBy("chunk_key").agg(F.map_from_entries(F.collect_set(F.struct("form", "best"))).alias("fix"))
-
-    def fix(word: Column) -> Column:
-        b = bare(word)
-        best = F.element_at("fix", F.lower(b))
+    place = lambda form, left, right: F.concat_ws("\n", form, left, right)
+    found = misread(chunks, page, body, forms, known).select("chunk_key", place(F.col("form"), F.col("l"), F.col("r")).alias("at"), "best")
+    fixes = found.groupBy("chunk_key").agg(F.map_from_entries(F.collect_set(F.struct("at", "best"))).alias("fix"))
+
+    def fix(words: Column, i: Column) -> Column:
+        b = bare(F.rtrim(words[i]))
+        beside = lambda k: F.coalesce(F.lower(bare(F.rtrim(F.get(words, k)))), F.lit(BREAK))
+        best = F.coalesce(F.element_at("fix", place(F.lower(b), beside(i - 1), beside(i + 1))), F.element_at("fix", F.lower(b)))
         cased = F.when(b == F.upper(b), F.upper(best)).when(F.substring(b, 1, 1) != F.lower(F.substring(b, 1, 1)), F.concat(F.upper(F.substring(best, 1, 1)), F.substring(best, 2, 1 << 20))).otherwise(best)
-        return F.coalesce(F.replace(word, b, cased), word)
+        return F.coalesce(F.replace(words[i], b, cased), words[i])
 
-    text = F.array_join(F.transform(F.split(F.rtrim("t"), " "), fix), " ")
+    words = F.split(F.rtrim("t"), r"(?<=\s)(?=\S)")  # each with the blanks behind it
+    text = F.array_join(F.transform(words, lambda _, i: fix(words, i)), "")
     done = paras.join(fixes, "chunk_key", "left").select("chunk_key", "para", text.alias("t"))
     whole = done.groupBy("chunk_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para", "t"))), lambda s: s["t"]), "\n\n").alias("text"))
     return body.select("chunk_key").join(whole, "chunk_key", "left").select("chunk_key", F.coalesce("text", F.lit("")).alias("text"))

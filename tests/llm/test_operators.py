@@ -152,3 +152,17 @@ def test_garbled(spark):
     got = {r.k: (r.restored, r.complete) for r in garbled_texts(df, "k").collect()}
     assert set(got) == {900, 904, 905} and got[900] == ("Der Händler prüft", True) and not got[904][1]
     assert garbled_texts(df.limit(0), "k").count() == 0
+
+
+def test_scans_by_context(spark):
+    clean = [f"she will ask if the {w} door opens and then it was said that it was {w}" for w in "red old new low big far hot dry wet sad".split() for _ in range(2)]
+    clean += [f"they ask if {w} men stay and {v} {w} if the rest" for w in "tall short young rich poor quick slow loud".split() for v in "we you".split()]
+    clean += [f"every {w} modern house" for w in "red old new low big far hot dry wet sad tall short young rich poor quick".split() for _ in range(5)]
+    clean += [f"the cable modem {w}" for w in "works failed broke".split()]
+    pages = [(1, 0, "we ask it the big man"), (1, 1, "she will ask lf the door and it was lf the"), (1, 2, "it was sad"), (2, 0, "the cable modem fell"), (2, 1, "a modem house"), (2, 2, "far rnodern house")]
+    df = page_table(spark, pages, clean)
+    page = F.col("page_number").isNotNull()
+    assert {r.chunk_key for r in scan_traces(df, page).collect() if r.kind == "misread"} == {0, 1, 4, 5}
+    texts = {r.chunk_key: r.text for r in repaired_pages(df, page).collect()}
+    assert texts[0] == "we ask if the big man" and texts[2] == pages[2][2] and texts[3] == pages[3][2] and texts[4] == "a modern house"
+    assert texts[1].startswith("she will ask if the door and it was ")
