@@ -13,6 +13,7 @@ they are, whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -228,7 +229,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, item_key:
     for k in range(parts):
         block = query.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).toArrow() if parts > 1 else query.toArrow()
         shared = spark.sparkContext.broadcast((block["item"].to_pylist(), block["t"].to_pylist()))
-        one = rows.mapInArrow(_finder(shared, (k, id(shared))), schema)
+        one = rows.mapInArrow(_finder(shared, uuid.uuid4().hex), schema)
         found = one if found is None else found.unionByName(one)
     return found.withColumnsRenamed({"doc": doc_key, "item": item_key})
 

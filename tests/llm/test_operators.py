@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.llm import queries
+from quarrylake.llm import leaks, queries
 from quarrylake.llm.leaks import leaked_items
 from quarrylake.llm.mojibake import garbled_texts
 from quarrylake.llm.neardup import similar_rows
@@ -166,3 +166,13 @@ def test_scans_by_context(spark):
     texts = {r.chunk_key: r.text for r in repaired_pages(df, page).collect()}
     assert texts[0] == "we ask if the big man" and texts[2] == pages[2][2] and texts[3] == pages[3][2] and texts[4] == "a modern house"
     assert texts[1].startswith("she will ask if the door and it was ")
+
+
+def test_leaks_tables_are_told_apart(spark, monkeypatch):
+    marks = []
+    monkeypatch.setattr(leaks, "id", lambda _: 1, raising=False)  # as when a freed object's address is given out again
+    monkeypatch.setattr(leaks, "_finder", lambda shared, mark: marks.append(mark) or (lambda batches: iter(())))
+    df = spark.createDataFrame([(1, "x")], "k long, text string")
+    for _ in range(2):
+        leaked_items(df, df, "k", "k")
+    assert marks[0] != marks[1]
