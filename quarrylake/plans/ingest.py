@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -80,16 +79,22 @@ def _fields() -> list[str]:
 
 
 def sync(store: Store, root: str, files: DataFrame, **options) -> int:
-    """Ingest and commit; on a conflict once more against the newer base. Returns the visible seq."""
+    """Ingest and commit; on a conflict once more against the newer base. Returns the visible seq.
+
+    InProgress, if another generation of the root is being built, is the caller's to wait for.
+    """
     for again in (True, False):
-        base, seq = store.visible_seq(root), store.next_seq(root)
-        rows, closes, state, _ = plan_generation(store, root, files, seq, str(uuid.uuid4()), **options)
-        store.write(root, seq, rows, closes, state)
+        g = store.begin(root)
         try:
-            store.commit(root, seq, base)
-            return seq
+            rows, closes, state, _ = plan_generation(store, root, files, g.seq, g.token, **options)
+            store.write(g, rows, closes, state)
+            store.commit(g)
+            return g.seq
         except Conflict:
-            store.drop(root, seq)
+            store.drop(g)
             if not again:
                 raise
+        except BaseException:
+            store.drop(g)
+            raise
     return 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrylake.operators import access, chunking, diff, merkle, packing, ranking, reads, visibility
 from quarrylake.plans.ingest import sync
 from quarrylake.plans.search import candidates, chosen_roots, search
-from quarrylake.plans.store import Conflict, Store
+from quarrylake.plans.store import CLOSES, ROWS, Conflict, Generation, InProgress, Store
 from quarrylake.sources.artifacts import read_jsonl, table_or_empty, write_jsonl
 from quarrylake.sources.files import listing, read_ranges, scan
 from quarrylake.streaming.follow import Streak, debounced, deduplicated, failure_streaks, file_stream, into_table
@@ -184,7 +184,8 @@ def test_sync_lifecycle(spark, tmp_path):
     assert sorted(now) == ["docs/a.md", "docs/c.txt"] and "gamma" in now["docs/a.md"].content and now["docs/c.txt"].vector
     assert sorted(r.file_path for r in store.visible_rows("r", one).collect()) == ["docs/a.md", "docs/b.txt"]
     with pytest.raises(Conflict):
-        store.commit("r", two + 1, one)
+        store.begin("r", one)
+    assert (one, two) == (1, 2)
     (src / "docs/a.md").unlink()
     (src / "docs/c.txt").write_text("new")
     sync(store, "r", files(), embed=embed, include=["docs/a.md"])
@@ -199,6 +200,68 @@ def test_sync_lifecycle(spark, tmp_path):
     assert scan(files(), st).orderBy("path").collect() == st.orderBy("path").collect()
 
 
+def generation(spark, store, g, names):
+    rows = spark.createDataFrame([(n, "r", n, g.seq) for n in names], "id string, root_id string, file_path string, valid_from_generation_seq long")
+    full = rows.select(*(F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in ROWS.split(", "))))
+    store.write(g, full, spark.createDataFrame([], CLOSES), rows.select("root_id", F.col("file_path").alias("path"), F.lit(1).cast("long").alias("size"), F.lit("h").alias("content_hash"), F.lit(0).cast("long").alias("mtime")))
+
+
+def test_two_writers(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    names = lambda: sorted(r.id for r in store.visible_rows("r").collect())
+    a = store.begin("r")
+    with pytest.raises(InProgress):
+        store.begin("r")
+    b = store.begin("r", timeout=0)  # a took too long
+    assert (a.base, b.base) == (0, 0) and a.seq != b.seq and store.status("r") == {1: "failed", 2: "building"}
+    generation(spark, store, b, ["b"])
+    store.commit(b)
+    generation(spark, store, a, ["a"])
+    with pytest.raises(Conflict):
+        store.commit(a)
+    store.commit(b)  # again: nothing happens
+    assert names() == ["b"]
+    with pytest.raises(ValueError):
+        store.drop(b)
+    store.drop(a)
+    assert store.abandoned("r") == [] and names() == ["b"]
+    # both hold the same base and seq, as if both had been begun at once
+    c = store.begin("r")
+    d = Generation("r", c.seq, c.base, "twin")
+    generation(spark, store, c, ["c"])
+    generation(spark, store, d, ["d"])
+    store.commit(c)
+    with pytest.raises(Conflict):
+        store.commit(d)
+    assert names() == ["b", "c"] and store.status("r") == {1: "failed", 2: "visible", 3: "visible"}
+    e = store.begin("r", base=c.seq)
+    generation(spark, store, e, ["d"])
+    store.commit(e)
+    assert names() == ["b", "c", "d"] and {r.id: r.valid_from_generation_seq for r in store.rows("r").collect()} == {"b": 2, "c": 3, "d": 4}
+    store.drop("r")
+    assert store.visible_seq("r") == 0 and names() == []
+
+
+def test_sync_retries_on_conflict(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.md").write_text("alpha")
+    store = Store(spark, str(tmp_path / "store"))
+    commit, times = Store.commit, []
+
+    def late(self, g):
+        if not times:
+            times.append(g.seq)
+            other = Generation("r", 50, g.base, "other")
+            generation(spark, store, other, ["z.md"])
+            commit(self, other)
+        commit(self, g)
+
+    monkeypatch.setattr(Store, "commit", late)
+    seq = sync(store, "r", listing(spark, str(tmp_path / "src"), "r"))
+    assert times == [1] and seq > 50 and store.visible_seq("r") == seq and [r.file_path for r in store.visible_rows("r").collect()] == ["a.md"]
+    assert sorted(r.file_path for r in store.visible_rows("r", 50).collect()) == ["z.md"] and store.abandoned("r") == []
+
+
 def test_events_and_reports(spark):
     from quarrylake.operators.events import dry_run, enriched
 
