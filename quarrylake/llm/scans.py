@@ -5,12 +5,14 @@ corpus knows the whole word better than the compound. Misread characters are fou
 skeletons: every word is rewritten into strokes that look alike (rn = m, cl = d, 0 = o ...), words of
 one skeleton form a group, and a form that is rare beside its group's frequent form is a misreading of
 it. Where several forms of a group are known words, the neighbouring words choose among them at each
-place. Running headers are edge lines whose skeleton, page numbers masked, recurs at the edge of another
-page of the file. Page numbers are edge lines that hold a number and nothing else. Word statistics
-cover every chunk of the corpus, pages or not.
+place, and a rare form that stands often enough beside words of its own is a word. Running headers are edge
+lines whose skeleton, digits masked, recurs at the edge of another page of the file. Page numbers are edge
+lines that hold a number and nothing else. Word statistics cover every chunk of the corpus, pages or not.
 
 Nothing is collected: word counts are combined map-side, the vocabulary is joined by skeleton, headers by
-file and skeleton. No group is held whole; a page's lines are the largest unit.
+file and skeleton. No group is held whole; a page's lines are the largest unit. Which forms and which pairs
+of neighbours matter is known from the vocabulary and the pages; bit tables of a fixed size spare all other
+places of the corpus the shuffle (a full table would only let more through to the exact joins).
 """
 
 from __future__ import annotations
@@ -27,20 +29,22 @@ OUTER = ".,;:\"'()?!…“”‘’[]«»¿¡–—*"  # stripped from words, bu
 #: A form is misread if its group's best form is at least so many times as frequent; the second figure
 #: holds for forms with a digit or sign among their letters.
 RATIO, MIXED_RATIO = 12, 2
-SEEN = 3  # chunks from which a form may be a word of its own; groups with two such forms are told by context
-BITS = 1 << 18  # of the sketch of these groups' forms, whatever the corpus; it only spares rows before the exact join
+SEEN = 3  # chunks from which a form may be a word of its own
+BITS = 1 << 21  # of a bit table, whatever the corpus
 BREAK = "¶"  # stands between paragraphs, where no neighbour is
 EDGE = 3  # lines from the top and from the bottom that may be header or page number
 
 _PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]{0,63}"  # bounded, so that a text without blanks takes one pass
 CUT = rf"({_PART})[{DIVIDERS}][ \t]*\r?\n[ \t]*({_PART})"
+MIXED = r"\p{L}[0-9!|+$]|[0-9!|+$]\p{L}"
+# Words before and within printed page numbers, compared by skeleton.
+PAGE_WORDS, OF_WORDS = ["page", "p", "pg", "seite", "página", "strona", "стр"], ["of", "von", "de", "sur", "z", "из"]
 # Styles of printed page numbers; a digit may be misread as a letter.
 NUMBER = (
-    r"(?i)^\W*(?:(?:page|pa9e|pagc|pa9c|poge|p|pg|seite|página|strona|стр)\W{0,3})?"
-    r"(?:\d[\dOolI!]{0,5}|[OolI!]{1,2}\d{1,5}|[ivxl]{1,7})(?:\s*(?:of|0f|ot|/|von|de|sur|z|из)\s*[\dOolI!]{1,6})?\W*$"
+    r"(?i)^\W*(?:(\p{L}[\p{L}\d!|+$]{0,7})\W{0,3})??(?:\d[\dOolI!]{0,5}|[OolI!]{1,2}\d{1,5}|[ivxl]{1,7})"
+    r"(?:\s*(/|[\p{L}\d+]{1,4})\s*[\dOolI!]{1,6})?\W*$"
 )
-MIXED = r"\p{L}[0-9!|+$]|[0-9!|+$]\p{L}"
-OUTER_NUMBER = r"^\W*\d[\dOolI!]{0,5}\s{2,}|(?<!\s)\s{2,}+[\dOolI!]{1,6}\W*$"
+DIGITS = r"(?<![\p{L}\p{N}])[OolI!]{0,4}\d[\dOolI!]*(?![\p{L}\p{N}])"
 
 
 def skeleton(word: Column) -> Column:
@@ -51,6 +55,26 @@ def skeleton(word: Column) -> Column:
     return F.translate(x, "".join(a for a, _ in ALIKE), "".join(b * len(a) for a, b in ALIKE))
 
 
+def is_number(line: Column) -> Column:
+    """Whether a line holds a page number and nothing else."""
+    like = lambda word, known: skeleton(word).isin([stroked(w) for w in known])
+    pre, mid = F.regexp_extract(line, NUMBER, 1), F.regexp_extract(line, NUMBER, 2)
+    return line.rlike(NUMBER) & ((pre == "") | like(pre, PAGE_WORDS)) & (mid.isin("", "/") | like(mid, OF_WORDS))
+
+
+def stroked(word: str) -> str:
+    """skeleton() of a word known here."""
+    x = word.lower()
+    for a, b in STROKES:
+        x = x.replace(a, b)
+    return x.translate({ord(c): b for a, b in ALIKE for c in a})
+
+
+def masked(line: Column) -> Column:
+    """A line without the numbers at either end, other numbers as #."""
+    return F.regexp_replace(F.regexp_replace(line, DIGITS, "#"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def bare(word: Column) -> Column:
     return F.btrim(word, F.lit(OUTER))
 
@@ -76,9 +100,8 @@ def edge_kinds(pages: DataFrame) -> DataFrame:
     From either side lines count as long as they are one or the other; the first that is neither ends it.
     """
     line = F.trim("line")
-    key = skeleton(F.trim(F.regexp_replace(line, OUTER_NUMBER, "")))
-    titled = line.rlike(r"\p{L}{2}.*\p{L}{2}") & ~line.rlike(r"[.?!,;\"”]$") & ~line.rlike(rf"[{DIVIDERS}]$")
-    e = edges(pages).select("*", line.rlike(NUMBER).alias("number"), F.when(titled, key).alias("key"))
+    title = masked(line)
+    e = edges(pages).select("*", is_number(line).alias("number"), F.when(title.rlike(r"\p{L}{2}"), skeleton(title)).alias("key"))
     seen = e.where("key is not null and not number").groupBy("file_path", "key").agg(F.min("chunk_index").alias("a"), F.max("chunk_index").alias("b")).where("a < b")
     found = e.join(seen.select("file_path", "key", F.lit(True).alias("again")), ["file_path", "key"], "left")
     kind = F.when(F.col("number"), "page_number").when(F.col("again"), "header")
@@ -99,7 +122,7 @@ def bodies(pages: DataFrame) -> DataFrame:
     marked = pages.join(edge_kinds(pages), "chunk_key", "left").select("chunk_key", "lines", F.coalesce("marks", F.array()).alias("marks"))
     out = F.transform("marks", lambda m: m["pos"])
     body = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(out, i)), "\n")
-    heads = F.transform(F.filter("marks", lambda m: m["kind"] == "header"), lambda m: F.regexp_replace(m["line"], OUTER_NUMBER, ""))
+    heads = F.transform(F.filter("marks", lambda m: m["kind"] == "header"), lambda m: F.regexp_replace(m["line"], DIGITS, ""))
     return marked.select("chunk_key", "marks", body.alias("body"), F.array_join(heads, "\n").alias("heads"))
 
 
@@ -109,15 +132,18 @@ def words_of(text: Column) -> Column:
 
 
 def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
-    """(s, form, n, most, good, contested): every form of the corpus beside its skeleton's most frequent.
+    """(s, form, n, most, good, several, doubtful): every form of the corpus beside its skeleton's most frequent.
 
     A word counts once per chunk. On pages, words cut at a line end count as put together. good: not rare
-    beside the most frequent. contested: two forms of the skeleton, without digits and signs, stand in SEEN chunks or more.
+    beside the most frequent. several: two or more good forms of the skeleton, without digits and signs, stand in
+    SEEN chunks or more. doubtful: a rare form that does so beside only one such.
     """
     forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(joined(page))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     w = Window.partitionBy("s")
-    of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumns({"most": F.max("n").over(w), "contested": F.sum(((F.col("n") >= SEEN) & ~F.col("form").rlike(MIXED)).cast("int")).over(w) > 1})
-    return of.withColumn("good", F.col("n") * ratio() > F.col("most"))
+    of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumn("most", F.max("n").over(w))
+    of = of.withColumns({"good": F.col("n") * ratio() > F.col("most"), "word": (F.col("n") >= SEEN) & ~F.col("form").rlike(MIXED)})
+    several = F.sum((F.col("good") & F.col("word")).cast("int")).over(w) > 1
+    return of.withColumn("several", several).withColumn("doubtful", ~F.col("good") & F.col("word") & ~F.col("several")).drop("word")
 
 
 def joined(page: Column) -> Column:
@@ -129,44 +155,57 @@ def ratio() -> Column:
 
 
 def vocabulary(forms: DataFrame) -> DataFrame:
-    """(s, best, n, good, contested): each skeleton's most frequent form and every form that isn't rare beside it."""
-    of = forms.where("good").groupBy("s").agg(F.max(F.struct("n", "form")).alias("b"), F.collect_set("form").alias("good"), F.first("contested").alias("contested"))
-    return of.select("s", F.col("b.form").alias("best"), F.col("b.n").alias("n"), "good", "contested")
+    """(s, best, n): each skeleton's most frequent form."""
+    return forms.groupBy("s").agg(F.max(F.struct("n", "form")).alias("b")).select("s", F.col("b.form").alias("best"), F.col("b.n").alias("n"))
 
 
-def places(df: DataFrame, text: Column, forms: DataFrame) -> DataFrame:
-    """df's columns but its texts, with (form, l, r): every place of a contested form, with the words beside it."""
-    bit = lambda form: F.pmod(F.xxhash64(form), F.lit(BITS))
-    own = forms.where("contested").select(bit(F.col("form")).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
-    sketch = own.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("a")).scalar()
-    keys = [c for c in df.columns if c not in ("content", "whole", "body", "heads")]
-    t = df.select(*keys, F.split(F.lower(text), r"\s+").alias("t"))
-    three = F.arrays_zip(F.array_prepend("t", F.lit(BREAK)).alias("l"), F.col("t").alias("form"), F.slice("t", 2, F.size("t")).alias("r"))
-    rows = t.select(*keys, F.inline(three)).where("form is not null").withColumn("form", bare(F.col("form")))
-    b = bit(F.col("form"))
-    hit = rows.where(F.getbit(sketch[F.shiftright(b, 6).cast("int")], (b % 64).cast("int")) == 1)
-    return hit.withColumns({"l": bare(F.col("l")), "r": bare(F.coalesce("r", F.lit(BREAK)))})
+def bit(*cols: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BITS))
 
 
-def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame) -> DataFrame:
-    """(chunk_key, form, l, r, best): places of contested forms that are misread, with the form that belongs there.
+def bit_table(hashes: DataFrame) -> Column:
+    """The set of numbers below BITS in the only column of `hashes`, as an array of words of 64 bits."""
+    own = hashes.toDF("b").groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
+    every = hashes.sparkSession.range(BITS // 64).withColumnRenamed("id", "at").join(own, "at", "left").fillna(0, ["bits"])
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"])).scalar()
 
-    A form is supported at a place by the number of different places in the corpus where it follows the same
-    word, and of those where it precedes the same word, the place itself left out, and by its share of the
-    group's chunks. A misread place takes the good form of most support. A rare form is a word of its own
-    where no good form is known beside either neighbour and it is in SEEN places itself; else it is misread.
-    A good form is misread if another good form outweighs it on either side as RATIO says.
+
+def in_table(table: Column, b: Column) -> Column:
+    return F.getbit(table[F.shiftright(b, 6).cast("int")], (b % 64).cast("int")) == 1
+
+
+def places(df: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(keys, form, l, r): every word of a text with the words beside it."""
+    t = df.select(*keys, F.transform(F.split(F.lower(text), r"\s+"), bare).alias("t"))
+    three = F.arrays_zip(F.array_prepend("t", F.lit(BREAK)).alias("l"), F.col("t").alias("form"), F.array_append(F.slice("t", 2, F.size("t")), F.lit(BREAK)).alias("r"))
+    return t.select(*keys, F.inline(three)).where("form is not null")
+
+
+def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame) -> DataFrame:
+    """(chunk_key, form, l, r, best): places that are misread where context decides, with the form that belongs there.
+
+    It decides for all forms of a group with several good ones, and for doubtful forms. A form is supported at a
+    place by the number of different places in the corpus where it follows the same word, and of those where it
+    precedes the same word, the place itself left out, and by its share of the group's chunks. A misread place
+    takes the good form of most support. A rare form is a word of its own where SEEN - 1 other places support it and
+    none a good form, or on one side it outweighs the good forms as RATIO says; else it is misread. A good form is misread if another
+    good form outweighs it so on either side.
     """
-    c = forms.where("contested")
-    choices = c.where("good").groupBy("s").agg(F.collect_list(F.struct("form", "n")).alias("choices"))
-    group = c.join(choices, "s").select("form", "good", "most", "n", "choices", ratio().alias("ratio"))
-    text_of = chunks.where(F.col("content").isNotNull()).select(joined(page).alias("whole"))
-    seen = places(text_of, F.col("whole"), forms).where("form is not null and l is not null and r is not null").distinct()
-    left = seen.groupBy(F.col("form").alias("g"), "l").agg(F.count("*").alias("a"))
-    right = seen.groupBy(F.col("form").alias("g"), "r").agg(F.count("*").alias("b"))
+    asked = forms.where("several or doubtful")
+    choices = forms.where("good").groupBy("s").agg(F.collect_list(F.struct("form", "n")).alias("choices"))
+    group = asked.join(choices, "s").select("form", "good", "most", "n", "choices", "several", ratio().alias("ratio"))
+    of_form = bit_table(asked.select(bit("form")))
     text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", CUT, "$1$2"), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
-    here = places(body.select("chunk_key", "body", "heads"), text, forms).select("chunk_key", "form", "l", "r").distinct()
+    here = places(body, text, "chunk_key").where(in_table(of_form, bit("form"))).distinct()
     tried = here.select("form", "l", "r").distinct().join(group, "form")
+    # of the other forms of doubtful ones' groups, only the places beside the same words are needed
+    other = tried.where("not several").select("form", "l", "r", F.explode("choices.form").alias("g"))
+    pairs = bit_table(other.select(F.explode(F.array(bit(F.lit(0), "g", "l"), bit(F.lit(1), "g", "r")))))
+    every = places(chunks.where(F.col("content").isNotNull()), joined(page))
+    wanted = in_table(of_form, bit("form")) | in_table(pairs, bit(F.lit(0), "form", "l")) | in_table(pairs, bit(F.lit(1), "form", "r"))
+    seen = every.where(wanted).distinct()
+    left = seen.groupBy(F.col("form").alias("g"), "l").agg(F.count("*").alias("a"))
+    right = seen.groupBy(F.col("form").alias("g"), "r").agg(F.count("*").alias("b"))
     own = F.struct("form", "n")
     tried = tried.select("form", "l", "r", "good", "ratio", F.explode(F.array_union("choices", F.array(own))).alias("x"), "most").select("*", F.col("x.form").alias("g"), (F.col("x.n") / F.col("most")).alias("share")).drop("x")
     counted = tried.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").fillna(0, ["a", "b"])
@@ -176,7 +215,8 @@ def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: Dat
     side = F.struct("support", "a", "b", "share", "g")
     two = known.groupBy("form", "l", "r").agg(F.first("good").alias("good"), F.first("ratio").alias("ratio"), F.max(F.when(mine, side)).alias("f"), F.max(F.when(~mine, side)).alias("o")).where("o is not null")
     both = (F.col("o.a") > F.col("ratio") * (F.col("f.a") + F.col("f.share"))) & (F.col("o.b") > F.col("ratio") * (F.col("f.b") + F.col("f.share")))
-    word = (F.col("o.a") + F.col("o.b") == 0) & (F.col("f.a") + F.col("f.b") >= SEEN - 1)
+    alone = lambda f, o: (f >= SEEN - 1) & (o * F.col("ratio") <= f)
+    word = alone(F.col("f.a"), F.col("o.a")) | alone(F.col("f.b"), F.col("o.b")) | ((F.col("f.a") + F.col("f.b") >= SEEN - 1) & (F.col("o.a") + F.col("o.b") == 0))
     wrong = two.where(F.when(F.col("good"), both).otherwise(~word)).select("form", "l", "r", F.col("o.g").alias("best"))
     return here.join(wrong, ["form", "l", "r"]).select("chunk_key", "form", "l", "r", "best")
 
@@ -198,12 +238,12 @@ def cuts(body: DataFrame, known: DataFrame) -> DataFrame:
 
 def misread(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame, known: DataFrame) -> DataFrame:
     """(chunk_key, form, best, l, r): words of body and header that are misread; l and r are null where a form is so at every place."""
+    rare = forms.where("not good and not several and not doubtful")
     text = F.concat_ws("\n", F.regexp_replace("body", CUT, "$1$2"), "heads")
-    compound = F.regexp_replace("body", CUT, "$1-$2")
-    w = body.select("chunk_key", F.explode(F.array_intersect(words_of(text), F.array_union(words_of(text), words_of(compound)))).alias("form"))
-    rare = w.withColumn("s", skeleton(F.col("form"))).join(known, "s").where(~F.col("contested") & ~F.array_contains("good", F.col("form")))
+    w = body.select("chunk_key", F.explode(words_of(text)).alias("form")).where(in_table(bit_table(rare.select(bit("form"))), bit("form")))
     none = F.lit(None).cast("string")
-    return rare.select("chunk_key", "form", "best", none.alias("l"), none.alias("r")).unionByName(told_by_context(chunks, page, body, forms))
+    plain = w.join(rare.join(known.select("s", "best"), "s").select("form", "best"), "form").select("chunk_key", "form", "best", none.alias("l"), none.alias("r"))
+    return plain.unionByName(told_by_context(chunks, page, body, forms))
 
 
 def scan_traces(chunks: DataFrame, page: Column) -> DataFrame:

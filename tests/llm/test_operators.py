@@ -59,7 +59,7 @@ CLEAN = ["The footnote was reviewed by the committee before the follow-up meetin
 PAGES = [
     (1, 0, "Annual Report Of Tower\nThe foot-\nnote was reviewed by the com­\nmittee.\n\nEvery member signed.\n  - 12 -"),
     (1, 1, "ANNUAL REPOR+ OF TOWER\nThe follow-\nup meeting was reviewed by every rnember.\n305\nThe report.\n13 / 20"),
-    (1, 2, "The western tower report.\nEvery member signed."),
+    (1, 2, "The western tower report.\nThe meeting was reviewed."),
     (2, 0, "Annual Report Of Tower\nThe meeting was signed."),
     (2, 1, None),
     (2, 2, ""),
@@ -80,6 +80,14 @@ def test_scan_traces(spark):
     assert texts[5] == "" and 4 not in texts
 
 
+def test_headers(spark):
+    """A line that heads or foots another page of its file is a header, whatever number or sign ends it."""
+    pages = [(1, 0, "Annual Report 12\nThe meeting"), (1, 1, "13 Annua1 Report\nEvery member"), (1, 2, "Western Inc.\nThe report"), (1, 3, "Western lnc.\nThe tower\npa9e 7 0f 9"), (2, 0, "Annual Report 12\nThe tower"), (2, 1, "Tower 5 report\nThe meeting\nparty 7"), (2, 2, "Tower 6 report\nEvery member")]
+    df = page_table(spark, pages, CLEAN)
+    got = sorted(tuple(r) for r in scan_traces(df, F.col("page_number").isNotNull()).where("kind <> 'misread'").collect())
+    assert got == [(0, "header"), (1, "header"), (2, "header"), (3, "header"), (3, "page_number"), (5, "header"), (6, "header")]
+
+
 def test_split(spark):
     text = "".join(f"line {i} of the text\n" for i in range(400))
     df = spark.createDataFrame([(1, text, "z"), (2, None, "z"), (3, "", "z"), (4, "short", "z"), (5, text, "z"), (6, "x" * 100_000, "z")], "k long, content string, raw string")
