@@ -13,7 +13,7 @@ from quarrylake.functions import filetypes, paths, text, vectors
 from quarrylake.functions.hashes import bare_hash, chunk_id, file_hash, path_shard, shard_namespace
 from quarrylake.operators import access, chunking, diff, events, jobs, merkle, packing, ranking, reads, visibility
 from quarrylake.plans.search import candidates, search
-from quarrylake.session import table
+from quarrylake.session import shared_folder, table
 from quarrylake.streaming import follow
 
 SEQ, BASE = 1500, 1300
@@ -626,8 +626,7 @@ def debounced_sessions(spark, folder):
 
 def _work(spark: SparkSession) -> str:
     """A new folder below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,14 +52,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session without one gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a shared folder")
+    return os.path.join(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:")), "checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+_written: list[tuple[str, str]] = []
 
-    Only where the session names none (tests, single machine) is a folder of our own set.
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what several parts of a plan read, each with its own columns.
+
+    Tables are deleted when the session's process ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or os.path.join(os.path.abspath(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").removeprefix("file:")), "checkpoints"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_delete_written, spark)
+    _written.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_written(spark: SparkSession) -> None:
+    try:
+        sc = spark.sparkContext
+        for app, path in _written:
+            if app == sc.applicationId:
+                p = sc._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before: what it left lies in its checkpoint folder
+        pass
