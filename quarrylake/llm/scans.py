@@ -12,7 +12,8 @@ lines that hold a number and nothing else. Word statistics cover every chunk of
 Nothing is collected: word counts are combined map-side, the vocabulary is joined by skeleton, headers by
 file and skeleton. No group is held whole; a page's lines are the largest unit. Which forms and which pairs
 of neighbours matter is known from the vocabulary and the pages; bit tables of a fixed size spare all other
-places of the corpus the shuffle (a full table would only let more through to the exact joins).
+places of the corpus the shuffle (a full table would only let more through to the exact joins). The vocabulary
+and the pages' bodies are written to the shared folder once, as several parts of the plan read them.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylake.session import written
+
 # Glyphs that scanners confuse, as strokes. Letters on the left read alike.
 ALIKE = [("l1!|", "i"), ("c", "e"), ("a0", "o"), ("v", "y"), ("5$", "s"), ("q9", "g"), ("f+", "t"), ("2", "z")]
 STROKES = [("m", "rn"), ("n", "ri"), ("d", "cl"), ("u", "ii"), ("w", "vv"), ("h", "li"), ("b", "li"), ("8", "li"), ("6", "li")]
@@ -36,6 +39,7 @@ EDGE = 3  # lines from the top and from the bottom that may be header or page nu
 
 _PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]{0,63}"  # bounded, so that a text without blanks takes one pass
 CUT = rf"({_PART})[{DIVIDERS}][ \t]*\r?\n[ \t]*({_PART})"
+JOINT = rf"(?<=[\p{{L}}\p{{N}}][!|+$'’\-]{{0,3}})[{DIVIDERS}][ \t]*\r?\n[ \t]*(?=[\p{{L}}\p{{N}}])"  # the same without the words beside it
 MIXED = r"\p{L}[0-9!|+$]|[0-9!|+$]\p{L}"
 # Words before and within printed page numbers, compared by skeleton.
 PAGE_WORDS, OF_WORDS = ["page", "p", "pg", "seite", "página", "strona", "стр"], ["of", "von", "de", "sur", "z", "из"]
@@ -127,8 +131,8 @@ def bodies(pages: DataFrame) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-case words with at least one letter."""
-    return F.filter(F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), bare)), lambda w: w.rlike(r"\p{L}"))
+    """Distinct lower-case words."""
+    return F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), bare))
 
 
 def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
@@ -138,7 +142,7 @@ def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
     beside the most frequent. several: two or more good forms of the skeleton, without digits and signs, stand in
     SEEN chunks or more. doubtful: a rare form that does so beside only one such.
     """
-    forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(joined(page))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(joined(page))).alias("form")).groupBy("form").agg(F.count("*").alias("n")).where(F.col("form").rlike(r"\p{L}"))
     w = Window.partitionBy("s")
     of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumn("most", F.max("n").over(w))
     of = of.withColumns({"good": F.col("n") * ratio() > F.col("most"), "word": (F.col("n") >= SEEN) & ~F.col("form").rlike(MIXED)})
@@ -147,7 +151,7 @@ def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
 
 
 def joined(page: Column) -> Column:
-    return F.when(page, F.regexp_replace("content", CUT, "$1$2")).otherwise(F.col("content"))
+    return F.when(page, F.regexp_replace("content", JOINT, "")).otherwise(F.col("content"))
 
 
 def ratio() -> Column:
@@ -195,7 +199,7 @@ def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: Dat
     choices = forms.where("good").groupBy("s").agg(F.collect_list(F.struct("form", "n")).alias("choices"))
     group = asked.join(choices, "s").select("form", "good", "most", "n", "choices", "several", ratio().alias("ratio"))
     of_form = bit_table(asked.select(bit("form")))
-    text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", CUT, "$1$2"), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
+    text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", JOINT, ""), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
     here = places(body, text, "chunk_key").where(in_table(of_form, bit("form"))).distinct()
     tried = here.select("form", "l", "r").distinct().join(group, "form")
     # of the other forms of doubtful ones' groups, only the places beside the same words are needed
@@ -204,11 +208,14 @@ def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: Dat
     every = places(chunks.where(F.col("content").isNotNull()), joined(page))
     wanted = in_table(of_form, bit("form")) | in_table(pairs, bit(F.lit(0), "form", "l")) | in_table(pairs, bit(F.lit(1), "form", "r"))
     seen = every.where(wanted).distinct()
-    left = seen.groupBy(F.col("form").alias("g"), "l").agg(F.count("*").alias("a"))
-    right = seen.groupBy(F.col("form").alias("g"), "r").agg(F.count("*").alias("b"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("w")), F.struct(F.lit(1).alias("side"), F.col("r").alias("w")))
+    beside = seen.select(F.col("form").alias("g"), F.inline(sides)).groupBy("g", "side", "w").agg(F.count("*").alias("n"))
     own = F.struct("form", "n")
     tried = tried.select("form", "l", "r", "good", "ratio", F.explode(F.array_union("choices", F.array(own))).alias("x"), "most").select("*", F.col("x.form").alias("g"), (F.col("x.n") / F.col("most")).alias("share")).drop("x")
-    counted = tried.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").fillna(0, ["a", "b"])
+    both = tried.select("*", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("w")), F.struct(F.lit(1).alias("side"), F.col("r").alias("w")))))
+    counted = both.join(beside.withColumnRenamed("n", "places"), ["g", "side", "w"], "left")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("side") == k, F.col("places"))), F.lit(0))
+    counted = counted.groupBy("form", "l", "r", "g").agg(F.first("good").alias("good"), F.first("ratio").alias("ratio"), F.first("share").alias("share"), of(0).alias("a"), of(1).alias("b"))
     mine = F.col("g") == F.col("form")
     less = lambda c: F.when(mine, F.greatest(F.col(c) - 1, F.lit(0))).otherwise(F.col(c))
     known = counted.withColumns({"a": less("a"), "b": less("b")}).withColumn("support", F.col("a") + F.col("b") + F.col("share"))
@@ -239,7 +246,7 @@ def cuts(body: DataFrame, known: DataFrame) -> DataFrame:
 def misread(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame, known: DataFrame) -> DataFrame:
     """(chunk_key, form, best, l, r): words of body and header that are misread; l and r are null where a form is so at every place."""
     rare = forms.where("not good and not several and not doubtful")
-    text = F.concat_ws("\n", F.regexp_replace("body", CUT, "$1$2"), "heads")
+    text = F.concat_ws("\n", F.regexp_replace("body", JOINT, ""), "heads")
     w = body.select("chunk_key", F.explode(words_of(text)).alias("form")).where(in_table(bit_table(rare.select(bit("form"))), bit("form")))
     none = F.lit(None).cast("string")
     plain = w.join(rare.join(known.select("s", "best"), "s").select("form", "best"), "form").select("chunk_key", "form", "best", none.alias("l"), none.alias("r"))
@@ -253,8 +260,8 @@ def scan_traces(chunks: DataFrame, page: Column) -> DataFrame:
     Null and empty contents have no trace; a header needs another page (another chunk_index) of the
     same file_path, so repeated rows of one page aren't enough.
     """
-    body = bodies(pages_of(chunks, page))
-    forms = forms_of(chunks, page)
+    body = written(bodies(pages_of(chunks, page)))
+    forms = written(forms_of(chunks, page))
     known = vocabulary(forms)
     kinds = F.array_distinct(F.transform("marks", lambda m: m["kind"]))
     return (
@@ -271,8 +278,8 @@ def repaired_pages(chunks: DataFrame, page: Column) -> DataFrame:
     by their group's best form in their own letter case. Lines are numbered into paragraphs by a running
     window over each page; blank lines part them. A page without body gives an empty text.
     """
-    body = bodies(pages_of(chunks, page))
-    forms = forms_of(chunks, page)
+    body = written(bodies(pages_of(chunks, page)))
+    forms = written(forms_of(chunks, page))
     known = vocabulary(forms)
     w = Window.partitionBy("chunk_key").orderBy("pos")
     lines = body.select("chunk_key", F.posexplode(F.split("body", "\n")).alias("pos", "line")).select("chunk_key", "pos", F.rtrim("line").alias("line"))
