@@ -39,7 +39,7 @@ EDGE = 3  # lines from the top and from the bottom that may be header or page nu
 
 _PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]{0,63}"  # bounded, so that a text without blanks takes one pass
 CUT = rf"({_PART})[{DIVIDERS}][ \t]*\r?\n[ \t]*({_PART})"
-JOINT = rf"(?<=[\p{{L}}\p{{N}}][!|+$'’\-]{{0,3}})[{DIVIDERS}][ \t]*\r?\n[ \t]*(?=[\p{{L}}\p{{N}}])"  # the same without the words beside it
+JOINT = rf"[{DIVIDERS}](?<=[\p{{L}}\p{{N}}][!|+$'’\-]{{0,8}}[{DIVIDERS}])[ \t]*\r?\n[ \t]*(?=[\p{{L}}\p{{N}}])"  # the same without the words beside it
 MIXED = r"\p{L}[0-9!|+$]|[0-9!|+$]\p{L}"
 # Words before and within printed page numbers, compared by skeleton.
 PAGE_WORDS, OF_WORDS = ["page", "p", "pg", "seite", "página", "strona", "стр"], ["of", "von", "de", "sur", "z", "из"]
@@ -178,11 +178,12 @@ def in_table(table: Column, b: Column) -> Column:
     return F.getbit(table[F.shiftright(b, 6).cast("int")], (b % 64).cast("int")) == 1
 
 
-def places(df: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """(keys, form, l, r): every word of a text with the words beside it."""
-    t = df.select(*keys, F.transform(F.split(F.lower(text), r"\s+"), bare).alias("t"))
-    three = F.arrays_zip(F.array_prepend("t", F.lit(BREAK)).alias("l"), F.col("t").alias("form"), F.array_append(F.slice("t", 2, F.size("t")), F.lit(BREAK)).alias("r"))
-    return t.select(*keys, F.inline(three)).where("form is not null")
+def places(df: DataFrame, text: Column, forms: Column, *keys: str) -> DataFrame:
+    """(keys, form, l, r): the places of the words in the bit table `forms`, with the words beside them."""
+    t = df.select(*keys, F.split(F.lower(text), r"\s+").alias("t")).select(*keys, "t", F.posexplode("t").alias("i", "form"))
+    own = t.withColumn("form", bare(F.col("form"))).where(in_table(forms, bit("form")))
+    beside = lambda i: F.coalesce(bare(F.get("t", i)), F.lit(BREAK))
+    return own.select(*keys, "form", beside(F.col("i") - 1).alias("l"), beside(F.col("i") + 1).alias("r"))
 
 
 def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame) -> DataFrame:
@@ -200,12 +201,13 @@ def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: Dat
     group = asked.join(choices, "s").select("form", "good", "most", "n", "choices", "several", ratio().alias("ratio"))
     of_form = bit_table(asked.select(bit("form")))
     text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", JOINT, ""), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
-    here = places(body, text, "chunk_key").where(in_table(of_form, bit("form"))).distinct()
+    here = places(body, text, of_form, "chunk_key").distinct()
     tried = here.select("form", "l", "r").distinct().join(group, "form")
     # of the other forms of doubtful ones' groups, only the places beside the same words are needed
     other = tried.where("not several").select("form", "l", "r", F.explode("choices.form").alias("g"))
     pairs = bit_table(other.select(F.explode(F.array(bit(F.lit(0), "g", "l"), bit(F.lit(1), "g", "r")))))
-    every = places(chunks.where(F.col("content").isNotNull()), joined(page))
+    of_any = bit_table(asked.select(bit("form").alias("b")).unionByName(other.select(bit("g").alias("b"))))
+    every = places(chunks.where(F.col("content").isNotNull()), joined(page), of_any)
     wanted = in_table(of_form, bit("form")) | in_table(pairs, bit(F.lit(0), "form", "l")) | in_table(pairs, bit(F.lit(1), "form", "r"))
     seen = every.where(wanted).distinct()
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("w")), F.struct(F.lit(1).alias("side"), F.col("r").alias("w")))
@@ -235,7 +237,7 @@ def cuts(body: DataFrame, known: DataFrame) -> DataFrame:
     the mark divides.
     """
     two = F.arrays_zip(F.regexp_extract_all("body", F.lit(CUT), F.lit(1)).alias("left"), F.regexp_extract_all("body", F.lit(CUT), F.lit(2)).alias("right"))
-    c = body.select("chunk_key", F.explode(F.array_distinct(two)).alias("x")).select("chunk_key", F.lower("x.left").alias("left"), F.lower("x.right").alias("right"))
+    c = body.where(F.col("body").rlike(JOINT)).select("chunk_key", F.explode(F.array_distinct(two)).alias("x")).select("chunk_key", F.lower("x.left").alias("left"), F.lower("x.right").alias("right"))
     tail = bare(F.col("right"))
     tries = c.select("*", F.explode(F.array(F.struct(F.lit(0).alias("how"), F.concat("left", tail).alias("form")), F.struct(F.lit(1).alias("how"), F.concat("left", F.lit("-"), tail).alias("form")))).alias("t"))
     tries = tries.select("chunk_key", "left", "right", "t.how", skeleton(F.regexp_replace("t.form", r"['’]s$", "")).alias("s"), F.col("t.form").alias("form"))
