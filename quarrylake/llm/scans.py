@@ -9,18 +9,24 @@ place, and a rare form that stands often enough beside words of its own is a wor
 lines whose skeleton, digits masked, recurs at the edge of another page of the file. Page numbers are edge
 lines that hold a number and nothing else. Word statistics cover every chunk of the corpus, pages or not.
 
-Nothing is collected: word counts are combined map-side, the vocabulary is joined by skeleton, headers by
-file and skeleton. No group is held whole; a page's lines are the largest unit. Which forms and which pairs
-of neighbours matter is known from the vocabulary and the pages; bit tables of a fixed size spare all other
-places of the corpus the shuffle (a full table would only let more through to the exact joins). The vocabulary
+Word counts are combined map-side, the vocabulary is joined by skeleton, headers by file and skeleton. No
+group is held whole; a page's lines are the largest unit. Texts are cut into words in numpy arrays, a block
+of texts at a time. Which forms and which pairs of neighbours matter is known from the vocabulary and the
+pages; bit tables of a fixed size, all that reaches the driver, spare all other places of the corpus the
+shuffle (a full table would only let more through to the exact joins). The vocabulary
 and the pages' bodies are written to the shared folder once, as several parts of the plan read them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylake.llm.wordhash import TOP, blocks, mix, run_hashes, tables
 from quarrylake.session import written
 
 # Glyphs that scanners confuse, as strokes. Letters on the left read alike.
@@ -33,8 +39,10 @@ OUTER = ".,;:\"'()?!…“”‘’[]«»¿¡–—*"  # stripped from words, bu
 #: holds for forms with a digit or sign among their letters.
 RATIO, MIXED_RATIO = 12, 2
 SEEN = 3  # chunks from which a form may be a word of its own
-BITS = 1 << 21  # of a bit table, whatever the corpus
+BITS = 21  # a bit table has 2**BITS, whatever the corpus
 BREAK = "¶"  # stands between paragraphs, where no neighbour is
+BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
+OUTER_CODES = np.array([ord(c) for c in OUTER], np.uint32)
 EDGE = 3  # lines from the top and from the bottom that may be header or page number
 
 _PART = r"[\p{L}\p{N}][\p{L}\p{N}'’!|+$\-]{0,63}"  # bounded, so that a text without blanks takes one pass
@@ -130,9 +138,67 @@ def bodies(pages: DataFrame) -> DataFrame:
     return marked.select("chunk_key", "marks", body.alias("body"), F.array_join(heads, "\n").alias("heads"))
 
 
-def words_of(text: Column) -> Column:
-    """Distinct lower-case words."""
-    return F.array_distinct(F.transform(F.split(F.lower(text), r"\s+"), bare))
+class Words:
+    """The words of many texts: runs without blanks, in lower case, without OUTER signs at either end."""
+
+    def __init__(self, texts: list[str]):
+        _, lower = tables()
+        raw = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.codes = np.where(raw < len(lower), lower[np.minimum(raw, len(lower) - 1)], raw)
+        blank = np.isin(raw, BLANKS)
+        edge = np.diff((~blank).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        solid = np.flatnonzero(~blank & ~np.isin(raw, OUTER_CODES))
+        of = np.searchsorted(begin, solid, side="right") - 1
+        self.first, self.last = begin.copy(), begin.copy()  # a word of signs alone is empty
+        self.last[of] = solid + 1
+        self.first[of[::-1]] = solid[::-1]
+        self.text = np.searchsorted(np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1), begin, side="right")
+        self.hash = run_hashes(np.minimum(self.codes, TOP - 1), np.arange(TOP, dtype=np.uint32), self.first, self.last)
+
+    def strings(self, words: np.ndarray) -> list[str]:
+        a, b, c = self.first[words].tolist(), self.last[words].tolist(), self.codes
+        return [c[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(a, b)]
+
+    def beside(self, words: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the next or previous word of each, whether there is one in the same text)."""
+        at = words + step
+        near = np.clip(at, 0, len(self.first) - 1)
+        return near, (at == near) & (self.text[near] == self.text[words])
+
+
+def _hash_of(words: list[str]) -> np.ndarray:
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return run_hashes(np.minimum(codes, TOP - 1), np.arange(TOP, dtype=np.uint32), ends - [len(w) for w in words], ends)
+
+
+def _pair(side: int, word: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return mix(word * np.uint64(0xF1357AEA2E62A9C5) + other * np.uint64(0x9FB21C651E98DF25) + np.uint64(side))
+
+
+NO_WORD = _hash_of([BREAK])[0]
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def counted_words(texts: DataFrame) -> DataFrame:
+    """(form, n): words of the only column, and the number of its rows in which they stand; in parts to be summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, block in blocks(b.column(0).to_pylist()):
+                w = Words(block)
+                if not len(w.hash):
+                    continue
+                own = (w.hash >> np.uint64(12) << np.uint64(12)) | w.text.astype(np.uint64)  # at most 4096 texts
+                each, at = np.unique(own, return_index=True)
+                cut = np.flatnonzero(np.concatenate(([True], each[1:] >> np.uint64(12) != each[:-1] >> np.uint64(12))))
+                yield pa.RecordBatch.from_arrays([pa.array(w.strings(at[cut]), pa.string()), pa.array(np.diff(np.append(cut, len(each))).astype(np.int64))], ["form", "n"])
+
+    return texts.mapInArrow(run, "form string, n long")
 
 
 def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
@@ -142,7 +208,8 @@ def forms_of(chunks: DataFrame, page: Column) -> DataFrame:
     beside the most frequent. several: two or more good forms of the skeleton, without digits and signs, stand in
     SEEN chunks or more. doubtful: a rare form that does so beside only one such.
     """
-    forms = chunks.where(F.col("content").isNotNull()).select(F.explode(words_of(joined(page))).alias("form")).groupBy("form").agg(F.count("*").alias("n")).where(F.col("form").rlike(r"\p{L}"))
+    counts = counted_words(chunks.where(F.col("content").isNotNull()).select(joined(page).alias("t")))
+    forms = counts.groupBy("form").agg(F.sum("n").alias("n")).where(F.col("form").rlike(r"\p{L}"))
     w = Window.partitionBy("s")
     of = forms.select(skeleton(F.col("form")).alias("s"), "form", "n").withColumn("most", F.max("n").over(w))
     of = of.withColumns({"good": F.col("n") * ratio() > F.col("most"), "word": (F.col("n") >= SEEN) & ~F.col("form").rlike(MIXED)})
@@ -163,31 +230,61 @@ def vocabulary(forms: DataFrame) -> DataFrame:
     return forms.groupBy("s").agg(F.max(F.struct("n", "form")).alias("b")).select("s", F.col("b.form").alias("best"), F.col("b.n").alias("n"))
 
 
-def bit(*cols: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(BITS))
-
-
-def bit_table(hashes: DataFrame) -> Column:
-    """The set of numbers below BITS in the only column of `hashes`, as an array of words of 64 bits."""
-    own = hashes.toDF("b").groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
-    every = hashes.sparkSession.range(BITS // 64).withColumnRenamed("id", "at").join(own, "at", "left").fillna(0, ["bits"])
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"])).scalar()
-
-
-def in_table(table: Column, b: Column) -> Column:
-    return F.getbit(table[F.shiftright(b, 6).cast("int")], (b % 64).cast("int")) == 1
-
-
-def places(df: DataFrame, text: Column, forms: Column, *keys: str) -> DataFrame:
-    """(keys, form, l, r): the places of the words in the bit table `forms`, with the words beside them."""
-    t = df.select(*keys, F.split(F.lower(text), r"\s+").alias("t")).select(*keys, "t", F.posexplode("t").alias("i", "form"))
-    own = t.withColumn("form", bare(F.col("form"))).where(in_table(forms, bit("form")))
-    beside = lambda i: F.coalesce(bare(F.get("t", i)), F.lit(BREAK))
-    return own.select(*keys, "form", beside(F.col("i") - 1).alias("l"), beside(F.col("i") + 1).alias("r"))
-
-
-def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame) -> DataFrame:
-    """(chunk_key, form, l, r, best): places that are misread where context decides, with the form that belongs there.
+def bit_table(words: DataFrame) -> np.ndarray:
+    """Which slots of 2**BITS are taken: by the words of a column, or with two columns by (word, word to its left)
+    and with three by (word, word to its left) and (word, word to its right)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << BITS, bool)
+        for b in batches:
+            if b.num_rows:
+                h = [_hash_of(c.to_pylist()) for c in b.columns]
+                for x in h if len(h) == 1 else [_pair(side, h[0], h[side + 1]) for side in range(len(h) - 1)]:
+                    bits[_slot(x)] = True
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "bits"])
+
+    got = words.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << BITS - 6, np.int64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
+
+
+def places(df: DataFrame, text: Column, forms: np.ndarray, pairs: np.ndarray | None = None, key: str | None = None) -> DataFrame:
+    """(key, form, l, r): different places of the words in the bit table `forms`, with the words beside them; with
+    a second table, of those that hold a pair in it. Places repeated in other tasks are for the caller to unite."""
+    shared = df.sparkSession.sparkContext.broadcast((np.packbits(forms), None if pairs is None else np.packbits(pairs)))
+    own = "" if key is None else f"{key} {df.schema[key].dataType.simpleString()}, "
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, paired = (None if x is None else np.unpackbits(x).view(bool) for x in shared.value)
+        for b in batches:
+            keys = None if key is None else b.column(1)
+            for start, block in blocks(b.column(0).to_pylist()):
+                w = Words(block)
+                at = np.flatnonzero(wanted[_slot(w.hash)])
+                (l, has_l), (r, has_r) = w.beside(at, -1), w.beside(at, 1)
+                hl, hr = np.where(has_l, w.hash[l], NO_WORD), np.where(has_r, w.hash[r], NO_WORD)
+                if paired is not None:
+                    hit = paired[_slot(_pair(0, w.hash[at], hl))] | paired[_slot(_pair(1, w.hash[at], hr))]
+                    at, l, r, has_l, has_r, hl, hr = (x[hit] for x in (at, l, r, has_l, has_r, hl, hr))
+                h = _pair(1, _pair(0, w.hash[at], hl), hr)
+                if keys is not None:
+                    h = _pair(2, h, w.text[at].astype(np.uint64))
+                one = np.unique(h, return_index=True)[1]
+                at, l, r, has_l, has_r = (x[one] for x in (at, l, r, has_l, has_r))
+                side = lambda x, has: pa.array([s if ok else BREAK for s, ok in zip(w.strings(x), has.tolist())], pa.string())  # noqa: B023, E731
+                cols = [pa.array(w.strings(at), pa.string()), side(l, has_l), side(r, has_r)]
+                named = ["form", "l", "r"]
+                if keys is not None:
+                    cols, named = [keys.take(pa.array(start + w.text[at])), *cols], [key, *named]
+                yield pa.RecordBatch.from_arrays(cols, named)
+
+    return df.select(text.alias("__text"), *([] if key is None else [key])).mapInArrow(run, own + "form string, l string, r string")
+
+
+def told_by_context(chunks: DataFrame, page: Column, found: DataFrame, forms: DataFrame) -> DataFrame:
+    """(chunk_key, form, l, r, best): places of `found` that are misread where context decides, with the form that belongs there.
 
     It decides for all forms of a group with several good ones, and for doubtful forms. A form is supported at a
     place by the number of different places in the corpus where it follows the same word, and of those where it
@@ -199,17 +296,13 @@ def told_by_context(chunks: DataFrame, page: Column, body: DataFrame, forms: Dat
     asked = forms.where("several or doubtful")
     choices = forms.where("good").groupBy("s").agg(F.collect_list(F.struct("form", "n")).alias("choices"))
     group = asked.join(choices, "s").select("form", "good", "most", "n", "choices", "several", ratio().alias("ratio"))
-    of_form = bit_table(asked.select(bit("form")))
-    text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", JOINT, ""), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
-    here = places(body, text, of_form, "chunk_key").distinct()
-    tried = here.select("form", "l", "r").distinct().join(group, "form")
-    # of the other forms of doubtful ones' groups, only the places beside the same words are needed
-    other = tried.where("not several").select("form", "l", "r", F.explode("choices.form").alias("g"))
-    pairs = bit_table(other.select(F.explode(F.array(bit(F.lit(0), "g", "l"), bit(F.lit(1), "g", "r")))))
-    of_any = bit_table(asked.select(bit("form").alias("b")).unionByName(other.select(bit("g").alias("b"))))
-    every = places(chunks.where(F.col("content").isNotNull()), joined(page), of_any)
-    wanted = in_table(of_form, bit("form")) | in_table(pairs, bit(F.lit(0), "form", "l")) | in_table(pairs, bit(F.lit(1), "form", "r"))
-    seen = every.where(wanted).distinct()
+    here = found.join(asked.select("form"), "form", "left_semi").select("chunk_key", "form", "l", "r").distinct()
+    tried = written(here.select("form", "l", "r").distinct().join(group, "form"))
+    # of the other forms of the groups, only the places beside the same words are needed
+    other = tried.select(F.explode("choices.form").alias("g"), "l", "r")
+    wanted = bit_table(asked.select("form")) | bit_table(other.select("g"))
+    pairs = bit_table(other.select("g", "l", "r").unionByName(tried.select(F.col("form").alias("g"), "l", "r")))
+    seen = places(chunks.where(F.col("content").isNotNull()), joined(page), wanted, pairs).distinct()
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("w")), F.struct(F.lit(1).alias("side"), F.col("r").alias("w")))
     beside = seen.select(F.col("form").alias("g"), F.inline(sides)).groupBy("g", "side", "w").agg(F.count("*").alias("n"))
     own = F.struct("form", "n")
@@ -248,11 +341,11 @@ def cuts(body: DataFrame, known: DataFrame) -> DataFrame:
 def misread(chunks: DataFrame, page: Column, body: DataFrame, forms: DataFrame, known: DataFrame) -> DataFrame:
     """(chunk_key, form, best, l, r): words of body and header that are misread; l and r are null where a form is so at every place."""
     rare = forms.where("not good and not several and not doubtful")
-    text = F.concat_ws("\n", F.regexp_replace("body", JOINT, ""), "heads")
-    w = body.select("chunk_key", F.explode(words_of(text)).alias("form")).where(in_table(bit_table(rare.select(bit("form"))), bit("form")))
+    text = F.concat_ws(f"\n{BREAK}\n", F.regexp_replace(F.regexp_replace("body", JOINT, ""), r"\n[ \t\r]*(?=\n)", f"\n{BREAK}"), "heads")
+    found = written(places(body, text, bit_table(forms.where("not good or several").select("form")), key="chunk_key"))
     none = F.lit(None).cast("string")
-    plain = w.join(rare.join(known.select("s", "best"), "s").select("form", "best"), "form").select("chunk_key", "form", "best", none.alias("l"), none.alias("r"))
-    return plain.unionByName(told_by_context(chunks, page, body, forms))
+    plain = found.select("chunk_key", "form").distinct().join(rare.join(known.select("s", "best"), "s").select("form", "best"), "form").select("chunk_key", "form", "best", none.alias("l"), none.alias("r"))
+    return plain.unionByName(told_by_context(chunks, page, found, forms))
 
 
 def scan_traces(chunks: DataFrame, page: Column) -> DataFrame:

@@ -78,6 +78,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     edge = np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return run_hashes(codes, lower, first, last), np.searchsorted(ends, first, side="right")
+
+
+def run_hashes(codes: np.ndarray, lower: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of each run codes[first:last] in lower case; runs in order, none within another."""
     h = np.empty(len(first), np.uint64)
     i = 0
     while i < len(first):  # a long text goes a stretch of whole words at a time
@@ -90,8 +96,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h[i:j] = (total[last[i:j] - a] - total[first[i:j] - a]) * q[first[i:j] - a]
         i = j
     h += (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return mix(h), np.searchsorted(ends, first, side="right")
+    return mix(h)
 
 
 def shingles(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:

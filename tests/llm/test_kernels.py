@@ -129,9 +129,10 @@ def test_long_lines_are_cut_between_characters():
 def test_list_search_is_exact_within_a_list():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 64))
-    c, books, _ = neighbours.fit(neighbours.unit(x), 1)
-    code = neighbours.encode(neighbours.unit(x), np.zeros(200, int), c, books)
-    q, m, cos = neighbours._search(x, np.arange(200), x, np.arange(200), code, c[0], books, 5, 200)
+    u = neighbours.unit(x)
+    model = neighbours.Model(u, 1, 200)
+    own = model.near(u, 1)[:, 0]
+    q, m, cos = neighbours.search_cell(model, 5, 200, x, np.arange(200), own, model.encode(u, own), x, np.arange(200), [np.zeros(1, int)] * 200)
     s = neighbours.unit(x).astype(float) @ neighbours.unit(x).astype(float).T
     np.fill_diagonal(s, -9)
     assert (m.reshape(200, 5) == np.argsort(-s, 1, kind="stable")[:, :5]).mean() > 0.999
