@@ -4,11 +4,12 @@ Texts are brought to one form (words in lower case, one blank between). By the q
 L characters that equals another but for e edits shares at least L + 1 - q (e + 1) character q-grams with
 it, all within e diagonals (place in the document less place in the item). Shared q-grams are counted in
 overlapping bands of diagonals; regions of a band that reach the bound for the item's shortest passage of
-13 words are aligned within the band. What holds the same 13 words, or so many with an edit, is a leak.
+13 words are aligned within the band. The alignment gives the least edits and the longest run of whole words
+without one: a run of 13 words, or so many characters with an edit, is a leak.
 
-Items are the stated query set: their q-gram table goes to every task in blocks of ITEMS, and each
-block reads the corpus once, so the table's size is bounded whatever their number. Documents stay where
-they are, whole.
+Items are the stated query set: their q-gram table goes to every task in blocks of about BLOCK characters
+(some 13,000 items of 300), and each block reads the corpus once, so the table's size is bounded whatever
+their number. Documents stay where they are, whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from quarrylake.llm.wordhash import TOP, blocks, mix, tables
 
 Q = 12
-ITEMS = 4096  # items of a block: about 10 MB of q-grams at 300 characters an item
+BLOCK = 4_000_000  # characters of the items of a block: its table takes 16 bytes a character
 EDITS = 1  # edits that a passage may hold
 EDITED = 40  # characters from which it may
 WORDS = 13
@@ -136,81 +137,68 @@ def _regions(items: Items, starts: np.ndarray, at: np.ndarray, lo: np.ndarray, h
     return np.concatenate(out) if out else np.empty((0, 6), np.int64)
 
 
-def banded_edits(text: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> np.ndarray:
-    """Least edits between text[first:first+size] and the best-placed stretch of other[start:start+count], for each region.
+def banded(text: np.ndarray, first: np.ndarray, size: np.ndarray, other: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Alignment of text[first:first+size] with the best-placed stretch of other[start:start+count], for each region:
+    (least edits, most consecutive whole words that it matches without an edit).
 
-    Only the diagonals offset..offset+width-1 (place in the other less place in the text) are filled in;
-    all regions advance together, a character a step, the longer ones longer.
+    The first and the last character of a region are what stands beside it: they end words, but cost nothing.
+    Only the diagonals offset..offset+width-1 (place in the other less place in the text) are filled in; a run of
+    words lies on one of them. All regions advance together, a character a step, the longer ones longer.
     """
     order = np.argsort(-size, kind="stable")
-    first, start, count, offset = first[order], start[order], count[order], offset[order]
-    running = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # regions longer than i
+    first, start, count, offset, size = first[order], start[order], count[order], offset[order], size[order]
+    running = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")  # regions longer than i
     row = np.zeros((len(order), width), np.int64)
+    run, most = np.zeros((len(order), width), np.int32), np.zeros((len(order), width), np.int32)
+    state = np.zeros((len(order), width), np.int8)  # of the current word: 1 begins here, 2 has matched so far, 0 has not
     step = np.arange(width)
     far = int(size.max(initial=0)) + 1
     for i, k in enumerate(running.tolist()):
         j = i + offset[:k, None] + step
         inside = (j >= 0) & (j < count[:k, None])
-        same = inside & (other[np.where(inside, start[:k, None] + j, 0)] == text[first[:k] + i][:, None])
+        char = text[first[:k] + i][:, None]
+        same = inside & (other[np.where(inside, start[:k, None] + j, 0)] == char)
+        between, own = same & (char == 0), state[:k]
+        run[:k] = np.where(same, run[:k] + (between & (own == 2)), 0) * ((own > 0) | ~between)
+        state[:k] = np.where(between, 1, np.where(same & (own > 0), 2, 0))
+        np.maximum(most[:k], run[:k], out=most[:k])
+        if i == 0:
+            continue
         old = row[:k]
         skip = np.full_like(old, far)
         skip[:, :-1] = old[:, 1:] + 1
         cost = np.minimum(np.where(inside, old + ~same, far), skip)
-        row[:k] = np.minimum.accumulate(cost - step, axis=1) + step  # a character of the other left out
-    out = np.empty(len(order), np.int64)
-    out[order] = row.min(1)
-    return out
-
-
-def _word_runs(codes: np.ndarray) -> np.ndarray:
-    """Hash of each run of WORDS words within one text of plain codes."""
-    codes = np.concatenate(([0], codes, [0]))
-    parts = np.flatnonzero(codes == 0)
-    filled = np.flatnonzero(np.diff(parts) > 1)
-    if len(filled) < WORDS:
-        return np.empty(0, np.uint64)
-    x = codes.astype(np.uint64) + np.uint64(1)
-    out = []
-    words = []
-    for k in filled:
-        words.append(x[parts[k] + 1 : parts[k + 1]].tobytes())
-    for k in range(len(words) - WORDS + 1):
-        out.append(b"\0".join(words[k : k + WORDS]))
-    return np.array(out, object)
+        cost = np.minimum.accumulate(cost - step, axis=1) + step  # a character of the other left out
+        row[:k] = np.where((i < size[:k] - 1)[:, None], cost, old)
+    out, words = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    out[order], words[order] = row.min(1), most.max(1)
+    return out, words
 
 
 def leaks_in(items: Items, texts: list[str]) -> list[tuple[int, int, bool, int, int]]:
     """(document, item, whether WORDS words in a row are the same, characters, edits) of each leak."""
     codes, starts = plain(texts)
-    best: dict[tuple[int, int], tuple[bool, int, int]] = {}
     width = 2 * (EDITS + 1)
-    found_at = regions(items, codes, starts)
-    if not len(found_at):
+    found = regions(items, codes, starts)
+    if not len(found):
         return []
-    doc, item, band, first, last, _ = found_at.T
-    low, high = items.starts[item], items.starts[item + 1]
-    a, b = np.maximum(low, first - band - width), np.minimum(high, last - band + width)
-    edits_of = banded_edits(codes, first, last - first, items.codes, a, np.maximum(b - a, 0), first - band - (width - 1) - a, width)
-    for d, t, first, last, a, b, i0, i1, edits in zip(*(x.tolist() for x in (doc, item, first, last, a, b, low, high, edits_of))):
-        near = edits <= EDITS * max(1, (last - first) // int(items.least[t])) and last - first >= items.least[t] - Q
-        d0, d1 = int(starts[d]), int(starts[d + 1])
-        # to whole words on either side
-        while first > d0 and codes[first] != 0:
-            first -= 1
-        while last < d1 and codes[last - 1] != 0:
-            last += 1
-        while a > i0 and items.codes[a] != 0:
-            a -= 1
-        while b < i1 and items.codes[b - 1] != 0:
-            b += 1
-        own, other = _word_runs(codes[first:last]), set(_word_runs(items.codes[a:b]))
-        exact = any(w in other for w in own)
-        if not (exact or near):
-            continue
-        found = (exact, last - first, -edits)
-        if (d, t) not in best or best[d, t] < found:
-            best[d, t] = found
-    return [(d, t, e, n, -m) for (d, t), (e, n, m) in best.items()]
+    doc, item, band, first, last, _ = found.T
+    # with a separator before everything, so that each region has a neighbour on its left
+    text, other = np.append(np.uint32(0), codes), np.append(np.uint32(0), items.codes)
+    a, b = first, np.minimum(last + 1, starts[doc + 1]) + 1  # in text: the region and what stands beside it
+    low, high = np.maximum(items.starts[item], a - band - width), np.minimum(items.starts[item + 1] + 1, b - band + width)
+    edits, words = banded(text, a, b - a, other, low, np.maximum(high - low, 0), a - band - (width - 1) - low, width)
+    exact = words >= WORDS
+    near = (edits <= EDITS * np.maximum(1, (last - first) // items.least[item])) & (last - first >= items.least[item] - Q)
+    # to whole words on either side
+    gaps = np.flatnonzero(codes == 0)
+    at = np.searchsorted(gaps, first, side="right") - 1
+    begin = np.maximum(starts[doc], np.where(at >= 0, gaps[at], 0))
+    end = np.minimum(starts[doc + 1], gaps[np.searchsorted(gaps, last - 1)] + 1)
+    rows = np.flatnonzero(exact | near)
+    rows = rows[np.lexsort((-edits[rows], (end - begin)[rows], exact[rows], item[rows], doc[rows]))]
+    best = rows[np.append((doc[rows][1:] != doc[rows][:-1]) | (item[rows][1:] != item[rows][:-1]), True)] if len(rows) else rows
+    return list(zip(doc[best].tolist(), item[best].tolist(), exact[best].tolist(), (end - begin)[best].tolist(), edits[best].tolist()))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", item_text: str = "text") -> DataFrame:
@@ -224,7 +212,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, item_key:
     dk, ik = documents.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"doc {dk}, item {ik}, exact boolean, characters int, edits int"
     query = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("t"))
-    parts = max(1, -(-query.count() // ITEMS))
+    parts = max(1, -(-(query.agg(F.sum(F.length("t"))).first()[0] or 0) // BLOCK))
     found = None
     for k in range(parts):
         block = query.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).toArrow() if parts > 1 else query.toArrow()

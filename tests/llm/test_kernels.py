@@ -201,11 +201,27 @@ def test_leak_with_an_edit():
     assert got[:3] == (0, 0, False) and got[4] == 1
 
 
-def test_banded_edits():
-    code = lambda s: np.array([ord(c) for c in s], np.uint32)
-    got = leaks.banded_edits(code("abcdef.abc"), np.array([0, 7]), np.array([6, 3]), code("abXcdef.zzabc"), np.array([0, 8]), np.array([7, 5]), np.array([-1, 0]), 4)
-    assert got.tolist() == [1, 0]
-    assert leaks.banded_edits(code(""), *[np.empty(0, np.int64)] * 2, code(""), *[np.empty(0, np.int64)] * 3, 4).tolist() == []
+def test_banded():
+    code = lambda s: np.array([0 if c == " " else ord(c) for c in s], np.uint32)
+    text, other = code(" abc def gh x "), code("  abXc def gh y ")
+    got = leaks.banded(text, np.array([0, 4]), np.array([14, 8]), other, np.array([1, 6]), np.array([15, 8]), np.array([-1, -1]), 4)
+    assert [x.tolist() for x in got] == [[2, 0], [2, 2]]
+    none = leaks.banded(code(""), *[np.empty(0, np.int64)] * 2, code(""), *[np.empty(0, np.int64)] * 3, 4)
+    assert [x.tolist() for x in none] == [[], []]
+
+
+def test_leaks_are_told_by_whole_words():
+    """Brute force: some 13 consecutive words of the item stand in the document; parts of words don't count."""
+    rng = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(6)]
+    item = " ".join(rng.choice(names, 30))
+    words = item.split()
+    docs = [" ".join([*rng.choice(names, 9), *words[i : i + n], *rng.choice(names, 9)]) for i in range(0, 17, 4) for n in (11, 12, 13, 14)]
+    docs += [f"x{' '.join(words[:13])}", f"{' '.join(words[:13])}x", " ".join(words[:13]), "--" + " ".join(words[5:18]) + "!"]
+    runs = {tuple(words[i : i + 13]) for i in range(18)}
+    has = [any(tuple(d[i : i + 13]) in runs for i in range(len(d))) for d in ("".join(c if c.isalnum() else " " for c in t).split() for t in docs)]
+    got = {d for d, _, exact, *_ in leaks.leaks_in(leaks.Items([1], [item]), docs) if exact}
+    assert got == {i for i, x in enumerate(has) if x} and 8 < len(got) < len(docs)
 
 
 CLEAN = "São Müller größer déjà naïve Ångström señor Žirovec “quoted” – don’t café ñandú Привет мир заявку таблицу".split()
