@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylake.llm.sketch import counter_classes
 from quarrylake.llm.wordhash import blocks, shingles
 
 SKETCH_BITS = 25  # counters: 2**25, one byte each (32 MB at any corpus size, packed when broadcast)
-RANGE_BITS = 16
 GROUP_BITS = 15  # rows of one trie
 DEPTH = 32  # most shingles of a prefix sent along for the walk
 SHORT = 39  # bits of a 52-bit shingle left out there
@@ -53,47 +53,13 @@ def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def corpus_sketch(df: DataFrame, content: str, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Class of the frequency of each counter: 0 none, c for 2**(c-1) <= count < 2**c.
+    """Class of the document frequency of the shingles of each counter."""
 
-    Tasks send their counts in ranges of 2**16 counters; ranges are summed in two steps.
-    """
+    def count(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h = [shingles(texts, k)[0] for _, texts in blocks(b.column(0).to_pylist())]
+        return _buckets(np.concatenate(h) if h else np.empty(0, np.uint64), bits), np.uint32(1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.uint32)
-        for b in batches:
-            for _, texts in blocks(b.column(0).to_pylist()):
-                np.add.at(n, _buckets(shingles(texts, k)[0], bits), np.uint32(1))
-        at = np.flatnonzero(n)
-        cuts = np.searchsorted(at, np.arange(0, (1 << bits) + 1, 1 << RANGE_BITS))
-        for r in range(len(cuts) - 1):
-            if cuts[r] < cuts[r + 1]:
-                x = at[cuts[r] : cuts[r + 1]]
-                x = x[np.argsort(n[x] > 1, kind="stable")]  # those counted once first: they need no count
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([int(x[0]) % 31], pa.int32()), pa.array([(x & ((1 << RANGE_BITS) - 1)).astype(np.uint16).tobytes()]), pa.array([n[x][n[x] > 1].tobytes()])], ["r", "part", "at", "n"])
-
-    def add(t: pa.Table) -> np.ndarray:
-        n = np.zeros(1 << RANGE_BITS, np.uint64)
-        for at, c in zip(t["at"].to_pylist(), t["n"].to_pylist()):
-            at, c = np.frombuffer(at, np.uint16), np.frombuffer(c, np.uint32)
-            n[at] += np.concatenate((np.ones(len(at) - len(c), np.uint64), c))
-        return np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
-
-    def merge(t: pa.Table) -> pa.Table:
-        n = add(t)
-        at = np.flatnonzero(n)
-        at = at[np.argsort(n[at] > 1, kind="stable")]
-        return pa.table({"r": pa.array([t["r"][0].as_py()], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "n": [n[at][n[at] > 1].tobytes()]})
-
-    def classes(t: pa.Table) -> pa.Table:
-        return pa.table({"r": pa.array([t["r"][0].as_py()], pa.int32()), "c": [zlib.compress(np.frexp(add(t).astype(np.float64))[1].astype(np.uint8).tobytes(), 1)]})
-
-    parts = df.select(content).where(F.col(content).isNotNull()).mapInArrow(count, "r int, part int, at binary, n binary")
-    halves = parts.groupBy("r", "part").applyInArrow(merge, "r int, at binary, n binary")
-    out = np.zeros(1 << bits, np.uint8)
-    for row in halves.groupBy("r").applyInArrow(classes, "r int, c binary").collect():
-        at = row["r"] << RANGE_BITS
-        out[at : at + (1 << RANGE_BITS)] = np.frombuffer(zlib.decompress(row["c"]), np.uint8)
-    return out
+    return counter_classes(df.select(content).where(F.col(content).isNotNull()), count, bits)
 
 
 def ordered_sets(texts: list[str], k: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -229,18 +229,50 @@ CLEAN = "São Müller größer déjà naïve Ångström señor Žirovec “quote
 
 def test_garble_and_restore_are_inverse():
     for w in CLEAN:
-        for chain in mojibake.CHAINS:
+        for chain in range(len(mojibake.CHAINS)):
             g = mojibake.garble(w, chain)
             if g is not None:
                 assert mojibake.restore(g, chain) == w or "\x80" <= min((c for c in g if c > "\x7f"), default="\x80") <= "\x9f" or mojibake.restore(g, chain) is None
 
 
+def classifier(words):
+    step, classes = np.zeros(1 << 16), np.zeros(1 << mojibake.COUNTER_BITS, np.int64)
+    for w, n in words.items():
+        np.add.at(step, mojibake._bigrams(w), n)
+        classes[mojibake.slot(w)] += n
+    return mojibake.Classifier(mojibake.trained_table(list(words), list(words.values())), step, np.frexp(classes.astype(float))[1])
+
+
 def test_classifier():
-    model = mojibake.Classifier.trained(Counter({w: 20 for w in CLEAN} | {w: 3 for w in "𝔏𝔢 Ⅷ ½ 日本語".split()}))
+    model = classifier(Counter({w: 20 for w in CLEAN} | {w: 3 for w in "𝔏𝔢 Ⅷ ½ 日本語".split()}))
     for w in CLEAN:
         assert model(w) is None
     for chain in [(("utf-8", "cp1252"),), (("utf-8", "latin-1"), ("utf-8", "latin-1"))]:
-        text = " ".join(["plain words", mojibake.garble("größer señor", chain), "déjà"])
+        text = " ".join(["plain words", mojibake.garble("größer señor", mojibake.CHAINS.index(chain)), "déjà"])
         assert model.text(text)[0] and model.text(text)[2] == "plain words größer señor déjà"
     assert model.text("lost � here")[0] and not model.text("lost � here")[3]
+    lost = mojibake.garble("größer señor", mojibake.CHAINS.index((("cp1252", "utf-8"),)))
+    assert "�" in lost and model.text(lost)[:2] == (True, "cp1252>utf-8")
     assert not model.text("rare 𝔏𝔢 Ⅷ ½ 日本語 words")[0] and not model.text("")[0]
+
+
+def test_classifier_on_held_out_words():
+    """Words that neither the classifier nor the counts have seen, garbled by every strict chain, and as they stand."""
+    rng = np.random.default_rng(8)
+    stems = "gr{}nd f{}hren m{}del tr{}me sch{}n w{}rter k{}nnen l{}nder b{}cher h{}user s{}tze v{}gel z{}ge r{}ume gl{}ck br{}der n{}chste t{}chter p{}nktlich d{}rfen".split()
+    seen = Counter({st.format(v) + end: int(rng.integers(3, 40)) for st in stems[:14] for v in "äöü" for end in ("", "s", "en")})
+    model = classifier(seen)
+    held = [st.format(v) + end for st in stems[14:] for v in "äöü" for end in ("", "e")]
+    assert sum(bool(model.text(f"das {w} und {v} war")[0]) for w, v in zip(held, held[1:])) == 0
+    tried = found = right = 0
+    for c in range(len(mojibake.STRICT)):
+        for w, v in zip(held[::5], held[1::5]):
+            text = f"{w} {v}"
+            g = mojibake.garble(text, c)
+            if g is None or g == text or mojibake.restore(g, c) != text:
+                continue
+            tried += 1
+            got = model.text(g)
+            found += got[0]
+            right += got[2] == text
+    assert tried > 500 and found / tried > 0.99 and right / tried > 0.95
