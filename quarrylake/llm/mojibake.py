@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylake.llm.sketch import counter_classes
-from quarrylake.llm.wordhash import mix
 from quarrylake.session import written
 
 SAMPLE = 12_000  # different words the classifier is trained on, drawn by frequency, whatever the size of the corpus
@@ -134,9 +133,7 @@ def core(word: str) -> str:
 
 def slot(word: str) -> int:
     """The counter of a word's core, whatever its numbers."""
-    raw = NUMBERS.sub("0", core(word)).encode("utf-8", "surrogatepass")
-    h = np.array([zlib.crc32(raw) | zlib.adler32(raw) << 32], np.uint64)
-    return int(mix(h)[0] >> np.uint64(64 - COUNTER_BITS))
+    return zlib.crc32(NUMBERS.sub("0", core(word)).encode("utf-8", "surrogatepass")) >> (32 - COUNTER_BITS)
 
 
 def trained_table(words: list[str], counts: list[int]) -> np.ndarray:
@@ -160,6 +157,14 @@ class Classifier:
         self.total = float(np.exp2(classes[classes > 0] - 0.5).sum()) or 1.0
         self.known: dict[str, tuple[float, int, str] | None] = {}
 
+    def __getstate__(self) -> tuple[bytes, np.ndarray, bytes, float]:
+        return zlib.compress(self.table.astype(np.float16).tobytes(), 1), self.step, zlib.compress(self.classes.tobytes(), 1), self.total
+
+    def __setstate__(self, state: tuple[bytes, np.ndarray, bytes, float]) -> None:
+        table, self.step, classes, self.total = state
+        self.table = np.frombuffer(zlib.decompress(table), np.float16).reshape(BUCKETS, -1).astype(np.float32)
+        self.classes, self.known = np.frombuffer(zlib.decompress(classes), np.uint8), {}
+
     def count(self, word: str) -> float:
         """About how often the corpus holds a word, 0 if less than KNOWN times."""
         c = int(self.classes[slot(word)])

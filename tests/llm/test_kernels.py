@@ -240,7 +240,7 @@ def classifier(words):
     for w, n in words.items():
         np.add.at(step, mojibake._bigrams(w), n)
         classes[mojibake.slot(w)] += n
-    return mojibake.Classifier(mojibake.trained_table(list(words), list(words.values())), step, np.frexp(classes.astype(float))[1])
+    return mojibake.Classifier(mojibake.trained_table(list(words), list(words.values())), step, np.frexp(classes.astype(float))[1].astype(np.uint8))
 
 
 def test_classifier():
