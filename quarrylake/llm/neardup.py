@@ -16,9 +16,10 @@ Stages and what moves between them:
    costs one record from here on.
 3. prefixes: (group, length and position, the next shingles of the prefix). The continuation is sent
    in 13 bits a shingle, which keep the order, as differences of mostly one byte.
-4. trie walk in each group. Groups are bounded: a shingle whose counter exceeds 2**GROUP_BITS is
-   split in blocks by record; its probing rows visit each block and are streamed, never held.
-5. exact check on the contents of the surviving pairs, then copies are put back.
+4. trie walk in each group. A shingle whose counter exceeds 2**GROUP_BITS, and eight times the mean of all
+   counters, is split in blocks by record; its probing rows visit each block and are streamed, never held.
+5. exact check on the contents of the surviving pairs. The result is pairs of contents and the rows of each
+   content; who wants pairs of rows expands them, groups of copies in buckets.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ DEPTH = 32  # most shingles of a prefix sent along for the walk
 SHORT = 39  # bits of a 52-bit shingle left out there
 FRONTIER = 1 << 20  # states of a walk held at once
 HELD = 1 << 18  # rows of a partition handled at once
+ID_BYTES = 10
+BUCKET = 512  # copies of a content expanded together
 
 
 @lru_cache(maxsize=1)
@@ -62,6 +65,13 @@ def corpus_sketch(df: DataFrame, content: str, k: int, bits: int = SKETCH_BITS)
     return counter_classes(df.select(content).where(F.col(content).isNotNull()), count, bits)
 
 
+def hot_class(sketch: np.ndarray) -> int:
+    """The class of counters from which a shingle is taken for a frequent one: above GROUP_BITS, and well above what
+    unrelated shingles of one counter come to."""
+    mean = np.exp2(sketch[sketch > 0] - 0.5).sum() / len(sketch)
+    return max(GROUP_BITS, int(np.ceil(np.log2(max(8 * mean, 1)))))
+
+
 def ordered_sets(texts: list[str], k: int, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingles in 52 bits: frequency class, then hash; start of each text). Sorted and distinct per text."""
     h, doc = shingles(texts, k)
@@ -79,7 +89,7 @@ def ceil_div(a, b):
     return -(-a // b)
 
 
-def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch: np.ndarray) -> pa.RecordBatch:
+def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch: np.ndarray, hot_from: int = GROUP_BITS) -> pa.RecordBatch:
     """The rows of stage 3 for a block of records."""
     token, starts = ordered_sets(texts, k, sketch)
     n = np.diff(starts)
@@ -94,7 +104,7 @@ def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch:
     tail = np.minimum(p[rec] - 1 - i, np.minimum(DEPTH, np.maximum(spare - i, 0) + 6))
     index = i < spare + 1
     # a shingle of a high class is split: indexed rows in one block, probing rows in every block
-    split = np.left_shift(1, np.maximum(level - GROUP_BITS, 0))
+    split = np.left_shift(1, np.maximum(level - hot_from, 0))
     hot = split > 1
     role = np.full(len(rec), 2, np.int8)
     block = np.zeros(len(rec), np.int64)
@@ -112,8 +122,8 @@ def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch:
     short = (token >> np.uint64(SHORT)).astype(np.int64)
     sizes, data = packed(short[flat] - short[flat - 1], tail)
     seq = pa.Array.from_buffers(pa.binary(), len(rec), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(data)])
-    meta = (block << 50) | (role.astype(np.int64) << 48) | (n[rec] << 24) | i
-    return pa.RecordBatch.from_arrays([pa.array(token[at].astype(np.int64)), pa.array(meta), pa.array(ids, pa.binary()).take(pa.array(rec)), seq], ["tok", "meta", "id", "seq"])
+    head = ((block << 2) | role).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(token[at].astype(np.int64)), pa.array(head), pa.array((n[rec] << 32) | i), pa.array(ids, pa.binary()).take(pa.array(rec)), seq], ["tok", "head", "meta", "id", "seq"])
 
 
 def packed(steps: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,10 +242,10 @@ def _unpack(t: pa.Table) -> dict[str, np.ndarray]:
         seq = pa.concat_arrays(seq.chunks) if seq.num_chunks else pa.array([], pa.binary())
     off = np.frombuffer(seq.buffers()[1], np.int32)[seq.offset : seq.offset + len(seq) + 1].astype(np.int64)
     data = np.frombuffer(seq.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.empty(0, np.uint8)
-    tok, meta = t["tok"].to_numpy(), t["meta"].to_numpy()
+    tok, head, meta = t["tok"].to_numpy(), t["head"].to_numpy(), t["meta"].to_numpy()
     rows, length = unpacked(tok >> SHORT, off - off[0], data)
-    ids = np.frombuffer(b"".join(t["id"].to_pylist()), dtype=">u4").reshape(-1, 3)
-    return {"tok": tok, "block": meta >> 50, "role": (meta >> 48) & 3, "n": (meta >> 24) & 0xFFFFFF, "i": meta & 0xFFFFFF, "id": ids.astype(np.uint32), "seq": rows, "len": length}
+    ids = np.frombuffer(b"".join(t["id"].to_pylist()), np.dtype((np.void, ID_BYTES)))
+    return {"tok": tok, "block": head >> 2, "role": head & 3, "n": meta >> 32, "i": meta & 0xFFFFFFFF, "id": ids, "seq": rows, "len": length}
 
 
 def _walk_rows(parts: dict[str, np.ndarray], num: int, den: int) -> pa.RecordBatch | None:
@@ -245,16 +255,12 @@ def _walk_rows(parts: dict[str, np.ndarray], num: int, den: int) -> pa.RecordBat
     p = {k: v[many] for k, v in parts.items()}
     if not many.any():
         return None
-    order = np.lexsort((p["id"][:, 2], p["id"][:, 1], p["id"][:, 0]))
-    ident = np.empty(len(order), np.int64)
-    same = np.concatenate(([False], (p["id"][order][1:] == p["id"][order][:-1]).all(1)))
-    ident[order] = np.cumsum(~same)
+    ident = np.unique(p["id"], return_inverse=True)[1]
     x, y = trie_walk(group[many], p["n"], p["i"], p["role"], ident, p["seq"], p["len"], num, den)
     if not len(x):
         return None
     pair = np.unique(np.stack((ident[x], ident[y]), 1), axis=0, return_index=True)[1]
-    raw = p["id"].astype(">u4").tobytes()
-    name = lambda rows: pa.array([raw[12 * r : 12 * r + 12] for r in rows], pa.binary())
+    name = lambda rows: pa.array([r.tobytes() for r in p["id"][rows]], pa.binary())
     return pa.RecordBatch.from_arrays([name(x[pair]), name(y[pair])], ["x", "y"])
 
 
@@ -283,14 +289,15 @@ def walk_partition(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Ite
 
 
 def identity(content: str) -> Column:
-    """The first 96 bits of a content's md5."""
-    return F.unhex(F.substring(F.md5(content), 1, 24))
+    """The first 80 bits of a content's md5."""
+    return F.unhex(F.substring(F.md5(content), 1, 2 * ID_BYTES))
 
 
 def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den: int = 10, k: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """(x, y): identities of each two different contents with Jaccard similarity >= num/den of their k-word sets."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(zlib.compress(corpus_sketch(df, content, k, sketch_bits).tobytes(), 1))
+    sketch = corpus_sketch(df, content, k, sketch_bits)
+    shared, hot_from = spark.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1)), hot_class(sketch)
     whole = df.select(identity(content).alias("id"), F.col(content).alias("content")).where(F.col("content").isNotNull() & F.col("id").isNotNull())  # as the joins below ask, so that all share one exchange
     whole = whole.groupBy("id").agg(F.first("content").alias("content"))
 
@@ -298,10 +305,10 @@ def similar_contents(df: DataFrame, content: str = "content", num: int = 7, den:
         for b in batches:
             ids = b.column(0).to_pylist()
             for start, texts in blocks(b.column(1).to_pylist()):
-                yield prefix_rows(ids[start : start + len(texts)], texts, k, num, den, _opened(shared.value))
+                yield prefix_rows(ids[start : start + len(texts)], texts, k, num, den, _opened(shared.value), hot_from)
 
-    rows = whole.mapInArrow(emit, "tok long, meta long, id binary, seq binary")
-    rows = rows.repartition("tok", F.shiftright("meta", 50)).sortWithinPartitions("tok", "meta")  # meta: block, role, length, position
+    rows = whole.mapInArrow(emit, "tok long, head int, meta long, id binary, seq binary")
+    rows = rows.repartition("tok", F.shiftright("head", 2)).sortWithinPartitions("tok", "head", "meta")  # head: block, role; meta: length, position
     pairs = rows.mapInArrow(lambda batches: walk_partition(batches, num, den), "x binary, y binary").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,17 +343,40 @@ def has_shingle(content: str, k: int) -> Column:
     return F.col(content).rlike(f"^[^{word}]*+" + f"[{word}]++[^{word}]++" * (k - 1) + f"[{word}]")
 
 
-def similar_rows(df: DataFrame, key: str, content: str = "content", num: int = 7, den: int = 10, k: int = 3) -> DataFrame:
-    """(a, b), a < b: keys of every two rows whose contents are similar, equal contents included.
+def similar_classes(df: DataFrame, key: str, content: str = "content", num: int = 7, den: int = 10, k: int = 3, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """(x, y): each two different contents that are similar; (id, key): the content of each row.
+
+    Rows without a row here (null keys and contents, contents of fewer than k words) are similar to none.
+    Repeated rows of one key are rows of equal content.
+    """
+    pairs = similar_contents(df, content, num, den, k, sketch_bits)
+    rows = df.where(F.col(content).isNotNull() & has_shingle(content, k)).select(identity(content).alias("id"), F.col(key).alias("key"))
+    return pairs, rows.where("id is not null and key is not null")
 
-    Null contents and those of fewer than k words are in no pair. Repeated rows of one key count as
-    rows of equal content. The result holds a row per pair, as its form asks; everything before
-    the last join works on distinct contents.
+
+def expanded_pairs(pairs: DataFrame, members: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b), a < b: keys of every two rows of similar or of equal content.
+
+    Copies of a content are dealt into buckets of about `bucket` rows, and each two buckets meet by themselves, so that
+    no group of copies is in one task whole.
     """
-    pairs = similar_contents(df, content, num, den, k)
-    id_ = identity(content)
-    rows = df.where(F.col(content).isNotNull() & has_shingle(content, k)).select(id_.alias("id"), F.col(key).alias("key")).where("id is not null and key is not null")
-    member = lambda side, name: rows.select(F.col("id").alias(side), F.col("key").alias(name))
-    apart = pairs.join(member("x", "p"), "x").join(member("y", "q"), "y").select("p", "q")
-    same = member("x", "p").join(member("x", "q"), "x").where("p < q").select("p", "q")
+    salt = F.pmod(F.xxhash64("key"), F.lit(16))
+    sizes = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.ceil(F.col("c") / bucket).cast("int"))
+    salted = sizes.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    dealt = members.withColumn("salt", salt.cast("int")).join(salted, ["id", "salt"], "left").select("id", "key", "n", F.coalesce(F.pmod(F.xxhash64("key", F.lit(1)), F.col("n")).cast("int"), F.lit(0)).alias("own"))
+    cells = dealt.where("n is not null").select("id", "key", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    cells = cells.select("id", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key")
+    left = cells.where("own = low").select("id", "low", "high", F.col("key").alias("p"))
+    right = cells.where("own = high").select("id", "low", "high", F.col("key").alias("q"))
+    same = left.join(right, ["id", "low", "high"]).where("p <> q and (low < high or p < q)").select("p", "q")
+    buckets = lambda side: sizes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"))
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(f"n{side}", F.lit(1)) - 1)).alias(f"b{side}")
+    wide = pairs.join(buckets("x"), "x", "left").join(buckets("y"), "y", "left").select("x", "y", "ny", every("x")).select("x", "y", "bx", every("y"))
+    member = lambda side, name: dealt.select(F.col("id").alias(side), F.col("own").alias(f"b{side}"), F.col("key").alias(name))
+    apart = wide.join(member("x", "p"), ["x", "bx"]).join(member("y", "q"), ["y", "by"]).select("p", "q")
     return apart.unionByName(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def similar_rows(df: DataFrame, key: str, content: str = "content", num: int = 7, den: int = 10, k: int = 3) -> DataFrame:
+    """(a, b), a < b: keys of every two rows whose contents are similar, equal contents included, a row per pair."""
+    return expanded_pairs(*similar_classes(df, key, content, num, den, k))

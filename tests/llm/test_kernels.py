@@ -69,8 +69,8 @@ def test_trie_join(monkeypatch, group_bits, held):
     sketch = np.zeros(1 << 16, np.uint8)
     n = np.bincount(neardup._buckets(wordhash.shingles(texts)[0], 16), minlength=1 << 16)
     sketch[:] = np.frexp(n.astype(float))[1]
-    ids = [i.to_bytes(12, "big") for i in range(len(texts))]
-    rows = pa.Table.from_batches([neardup.prefix_rows(ids, texts, 3, 7, 10, sketch)]).sort_by([("tok", "ascending"), ("meta", "ascending")])
+    ids = [i.to_bytes(10, "big") for i in range(len(texts))]
+    rows = pa.Table.from_batches([neardup.prefix_rows(ids, texts, 3, 7, 10, sketch, group_bits)]).sort_by([("tok", "ascending"), ("head", "ascending"), ("meta", "ascending")])
     batches = rows.to_batches(max_chunksize=50)
     got = set()
     for b in neardup.walk_partition(iter(batches), 7, 10):

@@ -50,6 +50,22 @@ def test_similar_rows_hot_copies(spark):
     assert len([p for p in pairs(df) if p[0] % 3 == 0 and p[1] % 3 == 0]) == 30 * 29 // 2
 
 
+def test_similar_rows_in_buckets_and_with_a_full_sketch(spark):
+    """The same pairs whatever the size of buckets and sketch."""
+    from quarrylake.llm import neardup
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 50 + i % 3])) for i in range(40)] + [(100 + i, " ".join(words[i : i + 30])) for i in range(25)] + [(200 + i, f"{i} a {i} b {i} c") for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, content string")
+    shingles = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, t in rows}
+    want = sorted((a, b) for a in shingles for b in shingles if a < b and 10 * len(shingles[a] & shingles[b]) >= 7 * len(shingles[a] | shingles[b]))
+    for bucket, bits in ((512, 20), (3, 16), (7, 18)):
+        got = neardup.expanded_pairs(*neardup.similar_classes(df, "k", sketch_bits=bits), bucket)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    full = np.full(1 << 16, 20, np.uint8)  # every counter far above 2**GROUP_BITS: none stands out
+    assert neardup.hot_class(full) > 20 and neardup.hot_class(np.zeros(4, np.uint8)) == neardup.GROUP_BITS
+
+
 def page_table(spark, pages, clean=()):
     rows = [(i, f"f{f}", n, n, t, "clash", 5) for i, (f, n, t) in enumerate(pages)] + [(1000 + i, "c", i, None, t, "clash", 5) for i, t in enumerate(clean)]
     return spark.createDataFrame(rows, "chunk_key long, file_path string, chunk_index int, page_number int, content string, form string, n int")
