@@ -42,6 +42,7 @@ DEPTH = 32  # most shingles of a prefix sent along for the walk
 SHORT = 39  # bits of a 52-bit shingle left out there
 FRONTIER = 1 << 20  # states of a walk held at once
 HELD = 1 << 18  # rows of a partition handled at once
+AHEAD = 10  # shingles sent beyond those that a record may lack
 ID_BYTES = 10
 BUCKET = 512  # copies of a content expanded together
 
@@ -101,7 +102,7 @@ def prefix_rows(ids: list, texts: list[str], k: int, num: int, den: int, sketch:
     sent = level > 1
     rec, i, at, level = rec[sent], i[sent], at[sent], level[sent]
     spare = n[rec] - ceil_div(2 * num * n[rec], num + den)  # shingles that a record of equal length may lack
-    tail = np.minimum(p[rec] - 1 - i, np.minimum(DEPTH, np.maximum(spare - i, 0) + 6))
+    tail = np.minimum(p[rec] - 1 - i, np.minimum(DEPTH, np.maximum(spare - i, 0) + AHEAD))
     index = i < spare + 1
     # a shingle of a high class is split: indexed rows in one block, probing rows in every block
     split = np.left_shift(1, np.maximum(level - hot_from, 0))
