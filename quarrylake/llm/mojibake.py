@@ -281,7 +281,7 @@ def fitted(words: DataFrame, sample: int) -> Classifier:
     chance = F.log((F.pmod(F.xxhash64("word"), F.lit(1 << 40)) + 1) / float(1 << 40)) / F.col("n")
     drawn = words.where(F.length("word") <= LONGEST).orderBy(chance.desc(), "word").limit(sample).toArrow()
     drawn = spark.createDataFrame(drawn).repartition(TASKS, "word")
-    model = None
+    model, table = None, np.zeros((1 + len(CHAINS), BUCKETS), np.float32)
     for _ in range(2):
         shared = spark.sparkContext.broadcast(model)
 
@@ -290,6 +290,11 @@ def fitted(words: DataFrame, sample: int) -> Classifier:
             for b in batches:
                 yield b.filter(pa.array([not LOST.search(w) and not (judge and judge(w)) for w in b.column(0).to_pylist()], pa.bool_()))
 
+        def spoilt(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            judge = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not LOST.search(w) and judge(w) is not None for w in b.column(0).to_pylist()], pa.bool_()))
+
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros((1 + len(CHAINS), BUCKETS), np.float32)
             for b in batches:
@@ -307,10 +312,9 @@ def fitted(words: DataFrame, sample: int) -> Classifier:
         def count(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             return np.fromiter(map(slot, b.column(0).to_pylist()), np.int64, b.num_rows), b.column(1).to_numpy().astype(np.uint32)
 
-        parts = drawn.mapInArrow(unspoilt, drawn.schema).mapInArrow(train, "n binary").collect()
-        table = np.zeros((1 + len(CHAINS), BUCKETS), np.float32)
-        for r in parts:
-            table += np.frombuffer(zlib.decompress(r["n"]), np.float32).reshape(-1, BUCKETS)
+        # the second time only what is left out is garbled again, and taken off
+        for r in drawn.mapInArrow(spoilt if model else unspoilt, drawn.schema).mapInArrow(train, "n binary").collect():
+            table += np.frombuffer(zlib.decompress(r["n"]), np.float32).reshape(-1, BUCKETS) * (-1 if model else 1)
         clean = written(words.mapInArrow(unspoilt, words.schema))
         got = clean.mapInArrow(follow, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
         step = np.zeros(1 << 16)
