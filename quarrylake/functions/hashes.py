@@ -35,12 +35,12 @@ def file_hash(content: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(content, 256))
 
 
-def path_shard(path: Column, shards: int) -> Column:
+def path_shard(path: Column, shards: int | Column) -> Column:
     """Unsigned value of the first 8 bytes of sha256(path), modulo the number of shards."""
-    if not 1 <= shards <= 256:
+    if isinstance(shards, int) and not 1 <= shards <= 256:
         raise ValueError("shards must be in 1..256")
     u64 = F.conv(F.substring(F.sha2(path, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return (u64 % F.lit(shards)).cast("int")
+    return (u64 % (F.lit(shards) if isinstance(shards, int) else shards)).cast("int")
 
 
 def shard_namespace(org: Column, root: Column, shard: Column) -> Column:

@@ -165,12 +165,13 @@ def secret(path: Column) -> Column:
 def ignored_by_patterns(paths: DataFrame, patterns: DataFrame, path: str = "path") -> DataFrame:
     """Rows of `paths` that no row (folder, line) of a pattern table ignores.
 
-    The table is a policy of bounded size; its lines are read when the plan is built.
+    The table is a policy: its lines are read when the plan is built, a thousand to an expression.
     """
-    rows = patterns.select("folder", "line").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a policy holds at most 10,000 lines")
-    return paths.where(~ignored(F.col(path), scoped=[(r["folder"] or "", r["line"] or "") for r in rows], defaults=False))
+    lines = [(r["folder"] or "", r["line"] or "") for r in patterns.select("folder", "line").distinct().toLocalIterator()]
+    found = sorted({r for folder, line in lines if (r := ignore_regex(line, folder))} | {ignore_regex(x) for x in ALWAYS_IGNORED})
+    for i in range(0, len(found), 1000):
+        paths = paths.where(~F.coalesce(F.col(path).rlike("|".join(found[i : i + 1000])), F.lit(False)))
+    return paths
 
 
 def moved_kind(old: Column, new: Column) -> Column:

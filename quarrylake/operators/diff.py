@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylake.functions.paths import moved_kind, selected
+from quarrylake.functions.paths import ignore_regex, moved_kind, selected
 from quarrylake.operators.ranks import spread_rank
 
 KEY = ["root_id", "path"]
@@ -113,3 +113,14 @@ def reused_hashes(listing: DataFrame, cache: DataFrame) -> DataFrame:
     c = cache.select(*KEY, F.col("size").alias("c_size"), F.col("mtime").alias("c_mtime"), "content_hash")
     same = (F.col("size") == F.col("c_size")) & (F.col("mtime") == F.col("c_mtime")) & (F.col("content_hash") != "")
     return listing.join(c, KEY, "left").select(*KEY, "size", "mtime", F.when(same, F.col("content_hash")).alias("content_hash"))
+
+
+def policy_paths(changes: DataFrame) -> DataFrame:
+    """Changes whose path a policy has to allow: all but removed ones; of moved files the new path counts, blank paths don't."""
+    return changes.where((F.col("status") != "REMOVED") & (F.trim("path") != ""))
+
+
+def policy_violations(changes: DataFrame, org_lines: Sequence[str], user_lines: Sequence[str] = ()) -> DataFrame:
+    """Changes that the policy of organisation and user together forbids. No lines forbid nothing, not even what is ignored by default."""
+    found = [r for line in [*org_lines, *user_lines] if (r := ignore_regex(line))]
+    return policy_paths(changes).where(F.col("path").rlike("|".join(found)) if found else F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylake.functions.hashes import generation_chunk_id
@@ -20,18 +20,18 @@ def with_closes(rows: DataFrame, closes: DataFrame, committed: DataFrame | None
 
     A close ends the rows of its path that were active at its base; it never touches rows of its own
     generation. The earliest counts. Rows and closes of generations not in `committed` (gen_seq)
-    are as if they weren't there. Closes are reduced to one row per path and seq before the join.
+    are as if they weren't there. Closes are reduced to one row per path and seq first.
     """
     if committed is not None:
         seqs = committed.select("gen_seq").distinct()
         closes = closes.join(seqs, "gen_seq", "left_semi")
         rows = rows.join(seqs.withColumnRenamed("gen_seq", "valid_from_generation_seq"), "valid_from_generation_seq", "left_semi")
-    c = closes.groupBy("root_id", "file_path", F.col("gen_seq").alias("c_seq")).agg(F.max("base_seq").alias("c_base"))
-    ends = (
-        rows.select("root_id", "file_path", "valid_from_generation_seq").distinct().join(c, ["root_id", "file_path"])
-        .where((F.col("valid_from_generation_seq") <= F.col("c_base")) & (F.col("c_seq") > F.col("valid_from_generation_seq")))
-        .groupBy("root_id", "file_path", "valid_from_generation_seq").agg(F.min("c_seq").alias("valid_to_generation_seq"))
-    )
+    # one pass over each path from its latest place down: the earliest of the closes at or above each row
+    c = closes.groupBy("root_id", "file_path", F.col("gen_seq").alias("c")).agg(F.max("base_seq").alias("base"))
+    c = c.select("root_id", "file_path", F.least(F.col("base"), F.col("c") - 1).alias("at"), "c")
+    begun = rows.select("root_id", "file_path", F.col("valid_from_generation_seq").alias("at")).distinct().withColumn("c", F.lit(None).cast("long"))
+    down = Window.partitionBy("root_id", "file_path").orderBy(F.col("at").desc(), F.col("c").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = begun.unionByName(c).withColumn("end", F.min("c").over(down)).where("c is null and end is not null").select("root_id", "file_path", F.col("at").alias("valid_from_generation_seq"), F.col("end").alias("valid_to_generation_seq"))
     return rows.drop("valid_to_generation_seq").join(ends, ["root_id", "file_path", "valid_from_generation_seq"], "left").fillna(0, ["valid_to_generation_seq"])
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quarrylake.functions import access as A
 from quarrylake.functions import filetypes, paths, text, vectors
 from quarrylake.functions.hashes import bare_hash, chunk_id, file_hash, path_shard, shard_namespace
-from quarrylake.operators import access, chunking, diff, events, jobs, merkle, packing, ranking, reads, visibility
+from quarrylake.operators import access, chunking, diff, events, jobs, merkle, namespaces, packing, queues, ranking, reads, visibility
 from quarrylake.plans.search import candidates, search
+from quarrylake.plans.store import CLOSES, ROWS, STATE, Conflict, Store
 from quarrylake.session import shared_folder, table
 from quarrylake.streaming import follow
 
@@ -130,11 +131,11 @@ def hash_reuse(spark, folder):
     return diff.reused_hashes(new.drop("content_hash"), old)
 
 
-@query("SELECT root_id, path, count(*) AS times FROM root_states WHERE generation_seq = (SELECT max(generation_seq) FROM root_states) GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT root_id, path, count(*) AS times FROM (SELECT root_id || '@' || generation_seq AS root_id, path FROM root_states) GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_paths(spark, folder):
+    """In every snapshot of every root."""
     s = table(spark, folder, "root_states")
-    last = s.agg(F.max("generation_seq")).first()[0]
-    return diff.repeated_paths(s.where(F.col("generation_seq") == last))
+    return diff.repeated_paths(s.select(F.concat_ws("@", "root_id", "generation_seq").alias("root_id"), "path"))
 
 
 # ---- Merkle trees -----------------------------------------------------------------------------
@@ -172,7 +173,10 @@ def simhash_root(spark, folder):
     return merkle.simhash(_states(spark, folder)[1])
 
 
-@query()
+@query(_STATES + """, h AS (SELECT 'o' AS w, root_id, content_hash FROM o UNION ALL SELECT 'c', root_id, content_hash FROM c),
+v AS (SELECT w, root_id, i, sum(CASE WHEN ((strpos('0123456789abcdef', substr(content_hash, i // 4 + 1, 1)) - 1) >> (3 - i % 4)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit
+  FROM h, range(256) AS t(i) WHERE length(content_hash) = 64 GROUP BY 1, 2, 3)
+SELECT a.root_id, round(1 - count(*) FILTER (a.bit <> b.bit) / 256.0, 6) AS similarity FROM v a JOIN v b ON a.root_id = b.root_id AND a.i = b.i AND a.w = 'o' AND b.w = 'c' GROUP BY 1""")
 def simhash_similarity(spark, folder):
     old, new = (merkle.simhash(s) for s in _states(spark, folder))
     return old.withColumnRenamed("simhash", "before").join(new.withColumnRenamed("simhash", "after"), "root_id").select("root_id", _r(merkle.simhash_similarity(F.col("before"), F.col("after"))).alias("similarity"))
@@ -446,7 +450,8 @@ def slugs(spark, folder):
     return table(spark, folder, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit("."), "p_brand")).alias("slug"), text.safe_object_name(F.concat("p_name", F.lit("/"), "p_type")).alias("name"))
 
 
-@query()
+@query("""SELECT size, CASE WHEN b IS NULL THEN NULL WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0) ELSE b || ' B' END AS text
+FROM (SELECT DISTINCT size, size * 997 AS b FROM root_states)""")
 def byte_sizes(spark, folder):
     return table(spark, folder, "root_states").select("size").distinct().select("size", text.byte_size(F.col("size") * 997).alias("text"))
 
@@ -510,7 +515,12 @@ def media_windows(spark, folder):
 # ---- packing ----------------------------------------------------------------------------------
 
 
-@query()
+@query("WITH RECURSIVE " + _STATES.removeprefix("WITH ") + """, f AS (SELECT root_id, path, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY root_id ORDER BY path) AS i FROM j WHERE status IN ('ADDED', 'MODIFIED', 'REMOVED')),
+p AS (SELECT root_id, i, size, sum(size) OVER (PARTITION BY root_id ORDER BY i) AS b, max(i) OVER (PARTITION BY root_id) AS last FROM f),
+r AS (SELECT root_id, 0 AS shard, 1::bigint AS first, 0::hugeint AS before FROM p WHERE i = 1
+  UNION ALL SELECT r.root_id, r.shard + 1, max(p.i) + 1, max(p.b) FROM r JOIN p ON p.root_id = r.root_id AND p.i >= r.first AND (p.i = r.first OR (p.i < r.first + 5000 AND p.b - r.before <= 268435456)) GROUP BY r.root_id, r.shard, p.last HAVING max(p.i) < p.last),
+s AS (SELECT root_id, shard, first, coalesce(lead(first) OVER (PARTITION BY root_id ORDER BY shard), 1099511627776) AS next FROM r)
+SELECT s.root_id, s.shard::int AS shard, count(*) AS files, sum(f.size)::bigint AS bytes FROM s JOIN f ON f.root_id = s.root_id AND f.i >= s.first AND f.i < s.next GROUP BY 1, 2""")
 def shard_packing(spark, folder):
     return packing.change_shards(diff.diff_states(*_states(spark, folder))).groupBy("root_id", "shard").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
@@ -651,7 +661,7 @@ def stream_incremental_index(spark, folder):
     return _run(spark, _event_stream(spark, folder).where("value > 10").select("event_id", "event_type", F.round(F.col("value") * 2, 6).alias("twice")))
 
 
-@query()
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS length FROM (SELECT vec_id, embedding::double[] AS e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) AS n FROM embeddings)")
 def vector_unit(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", _r(vectors.norm(vectors.unit(F.col("embedding")))).alias("length"))
 
@@ -682,3 +692,98 @@ def result_lines(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "file_path", F.lit(0).alias("chunk_index"), "text")
     best = ranking.top(ranking.bm25(d, "text", QUERY), 10, ["doc_id"])
     return events.result_lines(best, False)
+
+
+# ---- queues, shards, policies -------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT *, coalesce(attempts, 0) AS n, coalesce(status = 'failed', false) AS bad, stage = 'commit' AND shard_index % 4 = 1 AS late FROM queue_jobs),
+a AS (SELECT *, CASE WHEN late THEN 'wait' WHEN bad AND n >= CASE WHEN stage IN ('commit', 'cleanup') THEN 30 ELSE 3 END THEN 'fail' WHEN bad THEN 'retry' ELSE 'ack' END AS action FROM d)
+SELECT delivery_id, action, CASE action WHEN 'wait' THEN 5 WHEN 'retry' THEN greatest(n * n * 10, 1) END AS delay FROM a""")
+def delivery_outcomes(spark, folder):
+    j = table(spark, folder, "queue_jobs")
+    return queues.outcomes(j, F.col("status") == "failed", (F.col("stage") == "commit") & (F.col("shard_index") % 4 == 1)).select("delivery_id", "action", "delay")
+
+
+@query("""WITH o AS (SELECT sync_id, stage, shard_index, max(CASE status WHEN 'done' THEN 3 WHEN 'failed' THEN 2 ELSE 1 END) AS r, max(total_shards) AS t FROM queue_jobs GROUP BY 1, 2, 3),
+k AS (SELECT *, coalesce(shard_index >= 0, false) AS ok FROM o),
+c AS (SELECT sync_id, stage, count(*) FILTER (ok AND r = 3) AS done, coalesce(max(t), 0)::bigint AS total, count(*) FILTER (ok AND r = 2) AS failed, count(*) FILTER (ok AND r = 1) AS "open", count(*) FILTER (ok AND r = 3 AND shard_index < t) AS inside FROM k GROUP BY 1, 2)
+SELECT sync_id, stage, done, total, failed, "open", total > 0 AND inside >= total AS ready FROM c""")
+def commit_barrier(spark, folder):
+    return queues.barrier(table(spark, folder, "queue_jobs"), ["sync_id", "stage"], F.col("status"))
+
+
+@query("""WITH a AS (SELECT sync_id, shard_index, max(row_files) AS f FROM (SELECT sync_id, shard_index, count(*) AS row_files FROM queue_jobs WHERE result_ref IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2)
+SELECT delivery_id, CASE WHEN files_in_shard > 0 THEN files_in_shard::bigint ELSE coalesce(a.f, 0) END AS files FROM queue_jobs j LEFT JOIN a ON a.sync_id = j.sync_id AND a.shard_index = j.shard_index""")
+def progress_files(spark, folder):
+    j = table(spark, folder, "queue_jobs")
+    known = j.where("result_ref is not null").groupBy("sync_id", "shard_index").agg(F.count("*").alias("files"))
+    return queues.progress_files(j, ["sync_id", "shard_index"], known).select("delivery_id", "files")
+
+
+@query("""WITH r AS (SELECT generation_id, root_id, (generation_seq % 4)::int AS n FROM generations),
+k AS (SELECT generation_id, 'syncs/' || generation_id || '/request.json' AS key FROM r
+  UNION ALL SELECT generation_id, 'syncs/' || generation_id || '/done/shard-' || lpad(i::varchar, 6, '0') || '.done' FROM r, range(4) AS t(i) WHERE i < n
+  UNION ALL SELECT generation_id, 'files/' || s.root_id || '/' || path FROM root_states s JOIN (SELECT DISTINCT generation_id FROM r) USING (generation_id) WHERE size % 2 = 0 AND path <> '')
+SELECT DISTINCT generation_id, key FROM k""")
+def cleanup_objects(spark, folder):
+    g = table(spark, folder, "generations")
+    none = F.lit(None).cast("string")
+    requests = g.select("generation_id", "root_id", (F.col("generation_seq") % 4).cast("int").alias("total_shards"), none.alias("manifest_ref"), F.lit("states/kept.json").alias("proof_ref"), F.array().cast("array<string>").alias("change_refs"))
+    changes = table(spark, folder, "root_states").select("generation_id", F.when(F.col("size") % 2 == 0, "ADDED").otherwise("REMOVED").alias("status"), "path", none.alias("source_key"))
+    return queues.cleanup_objects(requests, changes)
+
+
+_NAMES = """WITH x AS (SELECT root_id, row_number() OVER (ORDER BY root_id) AS i FROM roots),
+ns AS (SELECT root_id, i, s, 4 AS n, i % 5 = 0 AND s = 2 AS retired FROM x, range(4) AS t(s) WHERE NOT (i % 7 = 0 AND s = 3))
+"""
+
+
+def _namespaces(spark, folder) -> DataFrame:
+    x = table(spark, folder, "roots").select("root_id", F.row_number().over(Window.orderBy("root_id")).alias("i"))
+    ns = x.select("root_id", "i", F.explode(F.array(*map(F.lit, range(4)))).alias("shard_index")).where("not (i % 7 = 0 and shard_index = 3)")
+    retired = F.when((F.col("i") % 5 == 0) & (F.col("shard_index") == 2), F.timestamp_micros(F.lit(0)))
+    return ns.select("root_id", "shard_index", F.lit(4).alias("shard_count"), F.concat_ws("_", "root_id", "shard_index").alias("namespace"), retired.alias("retired_at"))
+
+
+@query(_NAMES + "SELECT DISTINCT root_id, 'missing shards' AS error FROM ns WHERE i % 5 = 0 OR i % 7 = 0")
+def shard_errors(spark, folder):
+    return namespaces.shard_errors(_namespaces(spark, folder))
+
+
+@query(_NAMES + """, d AS (SELECT row_no, root_id, (('0x' || substr(sha256(file_path), 1, 16))::ubigint % 4)::int AS s FROM indexed_chunks)
+SELECT row_no, CASE WHEN i % 5 <> 0 AND i % 7 <> 0 THEN d.root_id || '_' || s END AS namespace FROM d LEFT JOIN x ON x.root_id = d.root_id""")
+def path_namespaces(spark, folder):
+    rows = table(spark, folder, "indexed_chunks").select("row_no", "root_id", F.col("file_path").alias("path"))
+    return namespaces.path_namespaces(rows, _namespaces(spark, folder)).select("row_no", "namespace")
+
+
+@query(_STATES + r"""SELECT root_id, path, status FROM w WHERE status NOT IN ('REMOVED', 'UNCHANGED') AND trim(path) <> '' AND (regexp_matches(path, '(^|/)[^/]*\.pdf(/|$)') OR starts_with(path, 'hr/') OR regexp_matches(path, '(^|/)specs/.'))""")
+def policy_violations(spark, folder):
+    changes = diff.changed(diff.with_moves(diff.diff_states(*_states(spark, folder))))
+    return diff.policy_violations(changes, ["*.pdf", "# note", "!keep.pdf"], ["/hr/", "specs/"]).select("root_id", "path", "status")
+
+
+@query("SELECT row_no::varchar AS id, CASE WHEN row_no % 2 = 0 THEN 2 ELSE 3 END::bigint AS seq FROM indexed_chunks WHERE op = 'upsert'")
+def commit_conflict(spark, folder):
+    """Two writers on one base: the first to commit stays, the other's rows come with its second try."""
+    rows = _rows(spark, folder)
+    at = Store(spark, f"{_work(spark)}/store")
+
+    def write(g, mine: Column) -> None:
+        own = rows.where(mine).withColumns({"id": F.col("row_no").cast("string"), "root_id": F.lit("r"), "valid_from_generation_seq": F.lit(g.seq).cast("long")})
+        full = own.select(*(F.col(c) if c in own.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in ROWS.split(", "))))
+        at.write(g, full, spark.createDataFrame([], CLOSES), spark.createDataFrame([], STATE))
+
+    late = at.begin("r")
+    first = at.begin("r", timeout=0)
+    write(late, F.col("row_no") % 2 == 1)
+    write(first, F.col("row_no") % 2 == 0)
+    at.commit(first)
+    try:
+        at.commit(late)
+    except Conflict:
+        again = at.begin("r")
+        write(again, F.col("row_no") % 2 == 1)
+        at.commit(again)
+    return at.rows("r").select("id", F.col("valid_from_generation_seq").alias("seq"))

@@ -114,3 +114,56 @@ def test_snapshot_changes(spark):
         ("r", 4, "b", "CHANGED"), ("r", 9, "a", "REMOVED"), ("r", 9, "b", "REMOVED"), ("r", 9, "n", "REMOVED"), ("r", 9, "c", "ADDED"), ("r", 11, "c", "REMOVED"), ("r", 11, "a", "ADDED"),
     ])
     assert snapshot_changes(df.limit(0)).count() == 0
+
+
+def test_queue_outcomes_and_barrier(spark):
+    from quarrylake.operators import queues
+
+    rows = [(1, "chunk", 2, "failed"), (2, "chunk", 3, "failed"), (3, "commit", 29, "failed"), (4, "commit", 30, "failed"), (5, "chunk", None, "failed"), (6, "chunk", 9, "done"), (7, "commit", 50, "late"), (8, None, 3, None)]
+    df = spark.createDataFrame(rows, "i int, stage string, attempts int, status string")
+    got = {r.i: (r.action, r.delay) for r in queues.outcomes(df, F.col("status") == "failed", F.col("status") == "late").collect()}
+    assert got == {1: ("retry", 40), 2: ("fail", None), 3: ("retry", 8410), 4: ("fail", None), 5: ("retry", 1), 6: ("ack", None), 7: ("wait", 5), 8: ("ack", None)}
+    shards = [("a", 0, 2, "done"), ("a", 1, 2, "failed"), ("a", 1, 2, "done"), ("b", 0, 2, "done"), ("b", 2, 2, "done"), ("c", None, None, "done"), ("d", 0, 1, None)]
+    df = spark.createDataFrame(shards, "k string, shard_index int, total_shards int, status string")
+    got = {r.k: (r.done, r.failed, r.open, r.ready) for r in queues.barrier(df, ["k"], F.col("status")).collect()}
+    assert got == {"a": (2, 0, 0, True), "b": (2, 0, 0, False), "c": (0, 0, 0, False), "d": (0, 0, 1, False)}
+
+
+def test_namespaces(spark):
+    from quarrylake.functions.hashes import path_shard
+    from quarrylake.operators import namespaces
+
+    import datetime as dt
+
+    old = dt.datetime(2025, 1, 1)
+    rows = [("ok", 0, 2, "o0", None), ("ok", 1, 2, "o1", None), ("ok", 1, 2, "gone", old), ("gap", 0, 2, "g0", None), ("mix", 0, 2, "m0", None), ("mix", 1, 3, "m1", None), ("out", 0, 1, "x0", None), ("out", 1, 1, "x1", None), ("none", 0, 1, "n0", old), ("zero", 0, 0, "z0", None)]
+    ns = spark.createDataFrame(rows, "root_id string, shard_index int, shard_count int, namespace string, retired_at timestamp")
+    assert {r.root_id: r.error for r in namespaces.shard_errors(ns).collect()} == {"gap": "missing shards", "mix": "shard count mismatch", "out": "invalid shard index", "none": "no active namespaces"}
+    assert [r.namespace for r in namespaces.active_shards(ns.where("root_id = 'ok'")).collect()] == ["o0", "o1"]
+    paths = spark.createDataFrame([("ok", "docs/readme.md"), ("ok", "queued/architecture.md"), ("gap", "a"), ("zero", "a"), ("nowhere", "a"), ("ok", None)], "root_id string, path string")
+    got = {(r.root_id, r.path): r.namespace for r in namespaces.path_namespaces(paths, ns).collect()}
+    assert got == {("ok", "docs/readme.md"): "o1", ("ok", "queued/architecture.md"): "o0", ("gap", "a"): None, ("zero", "a"): "z0", ("nowhere", "a"): None, ("ok", None): None}
+    assert spark.range(1).select(path_shard(F.lit("ops/runbooks/deploy/rollback.txt"), 4)).first()[0] == 2
+
+
+def test_policies(spark):
+    from quarrylake.functions.paths import ignored_by_patterns
+    from quarrylake.operators.diff import policy_violations
+
+    changes = spark.createDataFrame([("r", "a.pdf", "ADDED"), ("r", "b.pdf", "REMOVED"), ("r", "keep/c.md", "MOVED"), ("r", "tmp/d.md", "MOVED"), ("r", " ", "ADDED"), ("r", None, "ADDED")], "root_id string, path string, status string")
+    assert sorted(r.path for r in policy_violations(changes, ["*.pdf"], ["tmp/"]).collect()) == ["a.pdf", "tmp/d.md"]
+    assert policy_violations(changes, ["", "# none"]).count() == 0
+    lines = spark.createDataFrame([("", f"never{i}") for i in range(2500)] + [("", "*.pdf"), ("keep", "c.md"), (None, None)], "folder string, line string")
+    assert sorted(r.path for r in ignored_by_patterns(changes.where("path is not null"), lines).collect()) == [" ", "tmp/d.md"]
+
+
+def test_closes_of_a_hot_path(spark):
+    from quarrylake.operators.visibility import with_closes
+
+    rows = [("r", "f", i) for i in range(1, 60)] + [("r", "g", 5), (None, "h", 1)]
+    closes = [("r", "f", i, i + 1) for i in range(10, 50, 3)] + [("r", "f", 99, 30), ("r", "g", 4, 9)]
+    a = spark.createDataFrame(rows, "root_id string, file_path string, valid_from_generation_seq long")
+    b = spark.createDataFrame(closes, "root_id string, file_path string, base_seq long, gen_seq long")
+    got = {(r.file_path, r.valid_from_generation_seq): r.valid_to_generation_seq for r in with_closes(a, b).collect()}
+    want = {(p, s): min((g for _, q, base, g in closes if q == p and s <= base and g > s), default=0) for _, p, s in rows}
+    assert got == want
