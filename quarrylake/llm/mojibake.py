@@ -149,7 +149,7 @@ def trained_table(words: list[str], counts: list[int]) -> np.ndarray:
 
 class Classifier:
     def __init__(self, table: np.ndarray, step: np.ndarray, classes: np.ndarray):
-        n = table + SMOOTH
+        n = np.maximum(table, 0) + SMOOTH
         self.table = np.ascontiguousarray(np.log(n / n.sum(1, keepdims=True)).astype(np.float32).T)  # by bucket: [0] clean, [1 + c] chain c
         follow = step.reshape(256, 256) + 0.02
         self.step = np.log(follow / follow.sum(1, keepdims=True)).astype(np.float32).ravel()  # of a byte after a byte in clean words
