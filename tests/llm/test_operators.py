@@ -140,8 +140,8 @@ def test_neighbours_of_equal_directions(spark):
     x, others = rng.normal(size=64), rng.normal(size=(300, 64))
     rows = [(i * 7 % 41, (x * (1 + i)).tolist()) for i in range(41)] + [(100 + i, v.tolist()) for i, v in enumerate(others)]
     got = {}
-    for r in nearest_neighbours(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v").orderBy("k", "rank").collect():
-        got.setdefault(r.k, []).append((r.neighbour, round(r.cosine, 9)))
+    for r in nearest_neighbours(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v").orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.neighbour, round(r.cosine, 9)))
     assert all(got[i] == [(j, 1.0) for j in [n for n in range(7) if n != i][:5]] for i in range(41)) and len(got) == 341
 
 
